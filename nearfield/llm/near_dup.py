@@ -185,6 +185,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy(F.col("hi").alias("doc_id")).agg(F.min("lo").alias("comp"))
 
 
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` after more links: only what the links tie together is looked
+    at again, each component as one node."""
+    one, two = (comp.select(F.col("doc_id").alias(k), F.col("comp").alias(f"{k}_comp")) for k in ("hi", "lo"))
+    ends = links.join(one, "hi", "left").join(two, "lo", "left").select(F.coalesce("hi_comp", "hi").alias("x"), F.coalesce("lo_comp", "lo").alias("y"))
+    up = components(ends.where("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")))
+    moved = comp.join(up.select(F.col("doc_id").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("doc_id", F.coalesce("new", "comp").alias("comp"))
+    return moved.union(up)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     p = params
@@ -227,8 +237,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = written(pairs.groupBy("hi", "lo").agg(F.max("more").alias("more")).join(judged.select("hi", "lo"), ["hi", "lo"], "left_anti"))
         more = pairs.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
         if more["n"]:
-            judged = written(judged.union(confirmed(pairs.select("hi", "lo"))))
-            comp = written(components(judged.where("linked")))
+            fresh = confirmed(pairs.select("hi", "lo"))
+            judged = judged.union(fresh)
+            if fresh.where("linked").head(1):
+                comp = written(merged(comp, fresh.where("linked")))
         if not more["more"]:
             break
         most *= 16
