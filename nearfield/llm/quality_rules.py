@@ -68,7 +68,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("__nf_twins", F.expr("filter(zip_with(slice(__nf_windows, 1, __nf_n - 3), slice(__nf_windows, 2, __nf_n - 3), (a, b) -> CASE WHEN a.h = b.h THEN struct(a.i AS x, b.i AS y) END), z -> z IS NOT NULL)"))
     df = df.withColumn("__nf_starts", F.expr("CASE WHEN size(__nf_twins) > 0 THEN sort_array(array_distinct(concat(__nf_twins.x, __nf_twins.y))) END"))
     repeats = F.expr("CASE WHEN size(__nf_starts) > 0 THEN aggregate(zip_with(__nf_starts, concat(slice(__nf_starts, 2, size(__nf_starts)), array(element_at(__nf_starts, -1) + 3)), (a, b) -> least(3, b - a)), 0L, (s, x) -> s + x) ELSE 0L END")
-    df = df.withColumn("__nf_lines", F.expr("filter(split(__nf_text, '\\n'), x -> rlike(x, '[^ \\t\\n\\x0B\\f\\r]'))"))
+    df = df.withColumn("__nf_lines", F.filter(F.split("__nf_text", "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]")))
     symbols = F.octet_length("__nf_text") - F.octet_length(_without(F.col("__nf_text"), "#*$%&|<>"))
     found = {
         "n_words": F.col("__nf_n"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from nearfield.llm import common, html_text, language_id, linear, quality_rules, tokens, toxicity, url_filter
 from nearfield.llm.kneser_ney import KneserNey
 
-ODD = [None, "", " \n\t ", "One", "a\x0bb\x0cc\rd", "ÄÖ Ä ö", "x " * 30000, "same same same same", "nul\x00l b", "one two\n\none two\n", "<b>#*$%&|<>", "two words", "two words"]
+ODD = [None, "", " \n\t ", "One", "a\x0bb\x0cc\rd", "ÄÖ Ä ö", "x " * 30000, "same same same same", "x0Bf\nx0Bf\n \t\n", "nul\x00l b", "one two\n\none two\n", "<b>#*$%&|<>", "two words", "two words"]
 
 
 def docs(spark, texts, **columns):
@@ -57,7 +57,7 @@ def test_quality_measures(spark):
     texts = [*ODD, "a b c d a b c e a b", "x y z x y z", "l\nl\n l\nl", "wörter " * 60, "1 2 3 4 5 6 7 1 2 3 9 9 9 9"]
     got = quality_rules.ledger(docs(spark, texts)).orderBy("doc_id").collect()
     for t, r in zip(texts, got):
-        assert {k: r[k] for k in quality_rules.MEASURES} == measures(t), t
+        assert {k: r[k] for k in quality_rules.MEASURES} == measures(t), t and t[:50]
         assert bool(r.fail_bits & 1) == (r.n_words < 50)
 
 
@@ -251,7 +251,7 @@ def test_kneser_ney(spark, tmp_path, buckets):
     model = KneserNey.fit(df.where(common.fold(F.col("doc_id"), 5) != 1), model_dir=str(tmp_path), buckets=buckets)
     got = model.score(df, ["doc_id"]).orderBy("doc_id").collect()
     model.close()
-    assert model.shape.tokens == n and model.shape.hot
+    assert model.shape.tokens == n and (model.shape.hot or buckets == 1)
     for r, w in zip(got, want):
         assert (r.n_tokens, r.n_known) == w[:2] and r.base_score == pytest.approx(w[2], rel=1e-9) and r.score == pytest.approx(w[3], rel=1e-9)
 
