@@ -79,8 +79,11 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_repeat_words": repeats,
         "n_upper": F.regexp_count("__nf_text", F.lit("\\p{Lu}")),
     }
-    df = df.withColumns({k: v.cast("long") for k, v in found.items()})
-    return df.drop("__nf_text", "__nf_words", "__nf_n", "__nf_windows", "__nf_twins", "__nf_starts", "__nf_lines")
+    # behind a generator: a filter on a measurement must not be moved down to
+    # where it would repeat these expressions inside each other
+    own = [c for c in docs.columns if c not in found]
+    row = F.explode(F.array(F.struct(*(v.cast("long").alias(k) for k, v in found.items())))).alias("__nf_found")
+    return df.select(*own, row).select(*own, "__nf_found.*")
 
 
 def ledger(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
