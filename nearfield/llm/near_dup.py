@@ -3,20 +3,23 @@
 Every text's set of word shingles gives a MinHash signature. The signature is
 used twice: in bands, whose equal keys bring candidates together, and folded
 into an odd sketch, a bitmap of parities; the bits in which two sketches
-differ tell a high similarity within a few hundredths. Candidates that the sketches
-don't rule out (six standard errors below the threshold) are confirmed on the
-full sets, so what is linked is exact.
+differ tell a high similarity within a few hundredths. Candidates that the
+sketches don't rule out (six standard errors below the threshold) are
+confirmed on the full sets, so what is linked is exact.
 
 No list of all pairs of a group is made:
 
 * texts with equal sets are one class; its smallest id stands for it;
-* in each band bucket documents are tied to the bucket's smallest id only, and
-  every document confirms one such tie, the one most bands agree on;
-* of what is left, only pairs across the components found so far count. Each
-  bucket gives the most similar ones of every two components, sixteen at
-  first; rounds with ever more follow until no bucket holds any back.
+* in each band bucket documents are tied to the bucket's smallest id only.
+  Ties that the sketches don't rule out make families;
+* a family meets with its full sets, in tiles of ``TILE`` by ``TILE``
+  documents if it is large; a tile gives the edges of a spanning forest of
+  its links, never more than it has documents;
+* what shares a bucket without being in one family is compared by sketches,
+  and pairs that may be similar are confirmed. Each bucket gives the most
+  similar ones of every two families, 64 at first; rounds with ever more
+  follow until no bucket holds any back.
 
-Large buckets are dealt out in tiles of ``TILE`` by ``TILE`` documents.
 With 32 bands of 4 a pair at the threshold 0.8 meets in some band but for
 one case in 2 * 10^7.
 
@@ -39,7 +42,9 @@ from pyspark.sql import functions as F
 from .common import slices, text_buffers, written
 from .tokens import mix, word_hashes
 
-TILE = 4096
+TILE = 512
+#: Ids up to this number are broadcast to pick texts, above it joined.
+BROADCAST_IDS = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,8 +134,8 @@ def _confirm(batches, p: Params):
 
 
 def _across(table: pa.Table, p: Params, most: int) -> pa.Table:
-    """Pairs of one tile that lie in different components and may be similar:
-    of every two components the ``most`` with the fewest differing bits."""
+    """Pairs of one tile that lie in different families and may be similar: of
+    every two families the ``most`` with the fewest differing bits."""
     of = lambda name: table.column(name).to_numpy()
     ids, comps, n, side = of("doc_id"), of("comp"), of("n_shingles"), of("side")
     sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
@@ -163,6 +168,51 @@ def _tile(p: Params, most: int):
     return lambda table: _across(table, p, most)
 
 
+def _links(table: pa.Table, p: Params) -> pa.Table:
+    """A spanning forest of the exact links in one tile of a family. A
+    document is compared with those it isn't connected with yet, all at once:
+    a mark for each of its shingles, summed over the others' shingle lists."""
+    ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
+    first = np.unique(ids, return_index=True)[1]  # repeated rows are one
+    texts = table.column("text").combine_chunks().take(pa.array(first))
+    ids, side = ids[first], side[first]
+    sets = [s for _, _, part in _sets(texts, p.shingle) for s in part]
+    n = np.array([len(s) for s in sets], np.int64)
+    known, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    at = np.r_[0, np.cumsum(n)]
+    up, mark, out = np.arange(len(ids)), np.zeros(len(known), np.int32), []
+    for i in np.flatnonzero((side & 1) & (n > 0)):
+        other = (up != up[i]) & (side & 2 > 0) & (100 * np.minimum(n, n[i]) >= p.threshold * np.maximum(n, n[i]))
+        rows = np.flatnonzero(other)
+        if not len(rows):
+            continue
+        mark[flat[at[i] : at[i + 1]]] = 1
+        width = n[rows]
+        begin = np.r_[0, np.cumsum(width)[:-1]]
+        places = np.arange(width.sum()) + np.repeat(at[rows] - begin, width)
+        both = np.add.reduceat(mark[flat[places]], begin)
+        mark[flat[at[i] : at[i + 1]]] = 0
+        for j in rows[100 * both >= p.threshold * (n[rows] + n[i] - both)]:
+            if up[j] != up[i]:
+                out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+                up[up == up[j]] = up[i]
+    return pa.table({"hi": pa.array([int(x) for x, _ in out], pa.int64()), "lo": pa.array([int(x) for _, x in out], pa.int64())})
+
+
+def _forest(p: Params):
+    return lambda table: _links(table, p)
+
+
+def _tiled(rows: DataFrame, by: list[str], size: str) -> DataFrame:
+    """Deals groups out in tiles: adds ti, tj and the side a row is on (1, 2,
+    or 3 where both are one)."""
+    tiles = F.ceil(F.col(size) / TILE).cast("int")
+    rest = [c for c in rows.columns if c not in by]
+    dealt = rows.withColumn("__own", F.pmod(F.xxhash64("doc_id"), tiles).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    side = F.when(F.col("__own") == F.col("__other"), 3).when(F.col("__own") < F.col("__other"), 1).otherwise(2)
+    return dealt.select(*by, F.least("__own", "__other").alias("ti"), F.greatest("__own", "__other").alias("tj"), side.alias("side"), *rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, comp) of every node of ``edges`` (hi, lo with hi > lo): the
     smallest id that it is connected with. Large-star and small-star steps,
@@ -195,6 +245,17 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return moved.union(up)
 
 
+def confirmed(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
+    """(hi, lo, linked) of pairs, from their whole texts."""
+    ids = written(pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct())
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = written(texts)
+    one, two = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("hi", "lo"))
+    rows = pairs.join(one, "hi").join(two, "lo").select("hi", "lo", "hi_text", "lo_text")
+    return written(rows.mapInArrow(lambda b: _confirm(b, p), "hi long, lo long, linked boolean"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     p = params
@@ -207,41 +268,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("size")).where("size > 1")
     hits = written(keyed.join(shared, "key"))
     lite = written(reps.select("doc_id", "n_shingles", "sketch").join(hits.select("doc_id").distinct(), "doc_id", "left_semi"))
-    texts = written(docs.join(lite.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        one, two = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("hi", "lo"))
-        rows = pairs.join(one, "hi").join(two, "lo").select("hi", "lo", "hi_text", "lo_text")
-        return written(rows.mapInArrow(lambda b: _confirm(b, p), "hi long, lo long, linked boolean"))
 
-    # one tie for every document: the leading id that it shares most bands with
-    ties = hits.where("doc_id > lead").groupBy("doc_id", "lead").count().groupBy("doc_id").agg(F.max(F.struct("count", -F.col("lead"))).alias("t"))
-    ties = ties.select(F.col("doc_id").alias("hi"), (-F.col("t.col2")).alias("lo"))
+    # families: ties to the leading ids of buckets that sketches don't rule out
+    ties = hits.where("doc_id > lead").select(F.col("doc_id").alias("hi"), F.col("lead").alias("lo")).distinct()
     differ = F.aggregate(F.zip_with("hi_s", "lo_s", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     for k in ("hi", "lo"):
         ties = ties.join(lite.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_s")), k)
     fits = 100 * F.least("hi_n", "lo_n") >= p.threshold * F.greatest("hi_n", "lo_n")
-    ties = ties.where(fits & (differ <= p.most_differing())).select("hi", "lo")
-    judged = confirmed(ties)
-    comp = written(components(judged.where("linked")))
-
-    most = 16
+    family = components(ties.where(fits & (differ <= p.most_differing())))
+    family = family.select("doc_id", F.col("comp").alias("family"))
+    family = written(family.union(family.select(F.col("family").alias("doc_id"), "family").distinct()))
+    sized = family.join(family.groupBy("family").agg(F.count("*").alias("size")), "family")
+    met = _tiled(docs.join(sized, "doc_id"), ["family"], "size").select("family", "ti", "tj", "side", "doc_id", "text")
+    edges = met.groupBy("family", "ti", "tj").applyInArrow(_forest(p), "hi long, lo long")
+    comp = written(components(edges))
+
+    # pairs in one bucket but not in one family
+    own = F.coalesce("family", "doc_id")
+    of = hits.join(family, "doc_id", "left").select("key", "size", "doc_id", own.alias("comp"))
+    split = of.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
+    apart = written(of.join(split, "key").join(lite, "doc_id"))
+    judged, most = None, 64
     while True:
-        rows = hits.join(lite, "doc_id").join(comp, "doc_id", "left").select("key", "size", "doc_id", "n_shingles", "sketch", F.coalesce("comp", "doc_id").alias("comp"))
-        split = hits.select("key", "doc_id").join(comp, "doc_id", "left").groupBy("key").agg(F.min(F.coalesce("comp", "doc_id")).alias("x"), F.max(F.coalesce("comp", "doc_id")).alias("y")).where("x < y").select("key")
-        tiles = F.ceil(F.col("size") / TILE).cast("int")
-        own = F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
-        dealt = rows.join(split, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-        dealt = dealt.select("key", F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), F.when(F.col("own") == F.col("other"), 3).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "doc_id", "n_shingles", "sketch", "comp")
-        pairs = dealt.groupBy("key", "ti", "tj").applyInArrow(_tile(p, most), "hi long, lo long, more boolean")
-        pairs = written(pairs.groupBy("hi", "lo").agg(F.max("more").alias("more")).join(judged.select("hi", "lo"), ["hi", "lo"], "left_anti"))
-        more = pairs.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
-        if more["n"]:
-            fresh = confirmed(pairs.select("hi", "lo"))
-            judged = judged.union(fresh)
+        dealt = _tiled(apart, ["key"], "size")
+        pairs = dealt.groupBy("key", "ti", "tj").applyInArrow(_tile(p, most), "hi long, lo long, more boolean").groupBy("hi", "lo").agg(F.max("more").alias("more"))
+        pairs = written(pairs if judged is None else pairs.join(judged, ["hi", "lo"], "left_anti"))
+        found = pairs.agg(F.count("*").alias("n"), F.max("more").alias("more")).first()
+        if found["n"]:
+            fresh = confirmed(docs, pairs.select("hi", "lo"), p)
+            judged = fresh.select("hi", "lo") if judged is None else judged.union(fresh.select("hi", "lo"))
             if fresh.where("linked").head(1):
                 comp = written(merged(comp, fresh.where("linked")))
-        if not more["more"]:
+        if not found["more"]:
             break
         most *= 16
 
