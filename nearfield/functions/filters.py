@@ -43,14 +43,23 @@ class Value:
         raise NotImplementedError
 
 
-def json_path(key: str) -> str:
-    quoted = (p.replace("\\", "\\\\").replace("'", "\\'") for p in key.split("."))
-    return "$" + "".join(f"['{p}']" for p in quoted)
+def at_path(root: Column, key: str) -> Column:
+    """The value at a dotted path. A name with both kinds of quotes can't be
+    in a JSON path; it is looked up in the object as a map."""
+    path = "$"
+    for part in key.split("."):
+        if "'" in part and '"' in part:
+            root = F.try_variant_get(F.try_variant_get(root, path, "variant"), "$", "map<string,variant>")[part]
+            path = "$"
+        else:
+            quote = '"' if "'" in part else "'"
+            path += f"[{quote}{part}{quote}]"
+    return F.try_variant_get(root, path, "variant")
 
 
 class Variant(Value):
     def __init__(self, root: Column, key: str):
-        self.v = F.try_variant_get(root, json_path(key), "variant")
+        self.v = at_path(root, key)
         self.kind = F.schema_of_variant(self.v)
 
     def exists(self):

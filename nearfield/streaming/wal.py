@@ -27,7 +27,8 @@ _HEAD, _REC = struct.Struct("<4sI"), struct.Struct("<BBIII")
 
 
 class LogError(ValueError):
-    """A log that can't be read; ``kind``: short, magic, version, type, truncated."""
+    """A log that can't be read; ``kind``: short, magic, version, type,
+    meta, truncated."""
 
     def __init__(self, kind: str, message: str):
         super().__init__(message)
@@ -143,7 +144,10 @@ def decode(data: bytes) -> Iterator[dict]:
             raise LogError("type", f"unknown record type {code}")
         if len(data) - at < metas + vectors:
             raise LogError("truncated", "record is cut off")
-        meta = json.loads(data[at : at + metas]) if metas else None
+        try:
+            meta = json.loads(data[at : at + metas]) if metas else None
+        except ValueError as e:
+            raise LogError("meta", "metadata is no JSON") from e
         vector = list(struct.unpack_from(f"<{vectors // 4}f", data, at + metas)) if code == 1 else None
         at += metas + vectors
         yield {"type": TYPES[code], "id": id_, "meta": meta, "vector": vector}

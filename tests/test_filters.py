@@ -15,7 +15,7 @@ ROWS = [
     (4, {"price": 0, "ok": False, "n": 1, "tags": ["c", 1, None]}),
     (5, {}),
     (6, None),
-    (7, {"color": 1, "price": True, "user": "flat", "a b": {"c'd": 2}}),
+    (7, {"color": 1, "price": True, "user": "flat", "a b": {"c'd": 2, "e'f\"g": 3}}),
 ]
 
 
@@ -83,7 +83,7 @@ def test_leaves(spark):
             {"key": "price", "match": 10}, {"key": "price", "match": 10.0}, {"key": "price", "match": True}, {"key": "n", "match": None}, {"key": "tags", "match": ["b", 1]}, {"key": "tags", "match": None},
             {"key": "price", "range": {"gte": 10, "gt": 5, "lt": 20}}, {"key": "price", "range": {}}, {"key": "price", "range": {"lte": 20.5}},
             {"key": "n", "exists": True}, {"key": "n", "exists": False}, {"key": "n", "is_null": True}, {"key": "n", "is_null": False}, {"key": "user.name", "exists": True},
-            {"key": "user.name", "is_null": True}, {"key": "user.age", "range": {"lt": 10}}, {"key": "a b.c'd", "match": 2}, {"match": "red"}, {"exists": False}, {"key": "color"}, {},
+            {"key": "user.name", "is_null": True}, {"key": "user.age", "range": {"lt": 10}}, {"key": "a b.c'd", "match": 2}, {"key": "a b.e'f\"g", "match": 3}, {"match": "red"}, {"exists": False}, {"key": "color"}, {},
             {"key": "color", "match": "red", "exists": False}, {"key": "color", "match": "red", "must": [{"key": "n", "exists": True}]},
         ],
     )
