@@ -28,7 +28,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = LanguageId.fit(docs.where(fold(F.col("doc_id"), 4) != 2))
     held = docs.select(F.struct("*").alias("__nf_row"), F.col("text").alias("__nf_text"))
     told = model.predict(held, F.col("__nf_text"))
-    wrong = (F.col("lang_pred") != F.col("__nf_row.lang")) & (F.col("score") >= 0.5)
+    wrong = (F.col("lang_pred") != F.col("__nf_row.lang")) & (F.col("score") >= 0.9)
     return told.where((F.col("lang_pred") != "und") & ~F.coalesce(wrong, F.lit(False))).select("__nf_row.*")
 
 

@@ -9,9 +9,10 @@ the non-negative risk
 so unlabelled toxic texts don't teach the model that toxic words are harmless.
 Features are the distinct words of a text (runs of letters) and their first
 four to six bytes, which carry over to forms not seen in training; a feature
-counts if it is in at least ``min_share`` of the positives (two at least) and
-twice as common there as in unlabelled texts. Presence counts, not frequency,
-so a long text is no more toxic for its length. Whole texts are scored.
+counts if it is in at least ``min_share`` of the positives (three at least)
+and more likely than not comes with a toxic text: prior * P(feature | toxic) >
+P(feature) / 2. Presence counts, not frequency, so a long text is no more
+toxic for its length. Whole texts are scored.
 
 Null and empty texts get the score of a text without features; repeated rows
 equal scores; with no positive at all every score is 0. Ids, sources and
@@ -52,19 +53,18 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(h), np.concatenate(of)
 
 
-def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, steps: int = 500, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the non-negative risk with the logistic loss. Rows
     are lists of active features. Where the unlabelled part of the risk falls
     below zero, its gradient alone is followed backwards."""
     lens = np.array([len(r) for r in pos + unl])
     rows = np.repeat(np.arange(len(lens)), lens)
     cols = np.concatenate([np.zeros(0, np.int64), *pos, *unl]).astype(np.int64)
-    norm = (1 / np.sqrt(np.maximum(lens, 1)))[rows]
     n, p = len(lens), len(pos)
     w, b = np.zeros(size), 0.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for t in range(1, steps + 1):
-        z = np.bincount(rows, w[cols] * norm, n) + b
+        z = np.bincount(rows, w[cols], n) + b
         s = sigmoid(z)
         below = np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0)  # loss of answering minus
         minus = below[p:].mean() - prior * below[:p].mean()
@@ -75,7 +75,7 @@ def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float,
         else:
             g[:p] = prior * s[:p] / p
             g[p:] = -s[p:] / (n - p)
-        grad = np.r_[np.bincount(cols, g[rows] * norm, size) + l2 * w, g.sum()]
+        grad = np.r_[np.bincount(cols, g[rows], size) + l2 * w, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -87,7 +87,7 @@ class Toxicity:
         self.known, self.weights, self.bias = known, weights, bias
 
     @classmethod
-    def fit(cls, positives: DataFrame, unlabelled: DataFrame, prior: float, text: str = "text", min_share: float = 0.005) -> Toxicity:
+    def fit(cls, positives: DataFrame, unlabelled: DataFrame, prior: float, text: str = "text", min_share: float = 0.02) -> Toxicity:
         """``positives`` and ``unlabelled`` are bounded samples of texts (the
         caller picks them); their distinct features go to the driver."""
 
@@ -105,16 +105,18 @@ class Toxicity:
         if not pos:
             return cls(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
         keys, df = np.unique(np.concatenate(pos), return_counts=True)
-        keep = df >= max(2, min_share * len(pos))
+        keep = df >= max(3, min_share * len(pos))
         keys, df = keys[keep], df[keep]
         place = lambda x: (lambda at: at[keys[np.minimum(at, len(keys) - 1)] == x])(np.searchsorted(keys, x)) if len(keys) else np.zeros(0, np.int64)
         unl = [place(np.frombuffer(x, np.uint64)) for x in rows(unlabelled)]
         seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *unl]), minlength=len(keys))
-        common = df / len(pos) > 2 * (seen / max(1, len(unl)))
+        prior = min(max(prior, 1e-3), 0.5)
+        # one standard error less than was counted: chance doesn't make a feature
+        common = prior * (df - np.sqrt(df)) / len(pos) > 0.5 * (seen + 1) / max(1, len(unl))
         new = np.cumsum(common) - 1
         pos_at = [new[a[common[a]]] for a in (place(x) for x in pos)]
         unl_at = [new[a[common[a]]] for a in unl]
-        w, b = nn_pu(pos_at, unl_at or [np.zeros(0, np.int64)], int(common.sum()), min(max(prior, 1e-3), 0.5))
+        w, b = nn_pu(pos_at, unl_at or [np.zeros(0, np.int64)], int(common.sum()), prior)
         return cls(keys[common], w, b)
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -126,8 +128,7 @@ class Toxicity:
         hit = np.flatnonzero(self.known[at] == h)
         both = np.unique(of[hit] * len(self.known) + at[hit])
         doc, col = both // len(self.known), both % len(self.known)
-        size = np.bincount(doc, minlength=n)
-        return sigmoid(np.bincount(doc, self.weights[col], n) / np.sqrt(np.maximum(size, 1)) + self.bias)
+        return sigmoid(np.bincount(doc, self.weights[col], n) + self.bias)
 
     def predict(self, docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         """The columns ``keep`` and score."""
