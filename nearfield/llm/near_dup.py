@@ -41,10 +41,11 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_buffers, written
 from .tokens import mix, word_hashes
+from .url_filter import Bloom
 
 TILE = 512
-#: Ids up to this number are broadcast to pick texts, above it joined.
-BROADCAST_IDS = 100_000
+#: Most bits of the filter that picks texts before they move.
+FILTER_BITS = 1 << 26
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -245,12 +246,38 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     return moved.union(up)
 
 
+def _keys(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.int64).view(np.uint64) * _STEP
+    return np.stack([mix(h), mix(h + np.uint64(1)) | np.uint64(1)], axis=1)
+
+
+def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with an id among ``ids``. A Bloom filter of at
+    most ``FILTER_BITS`` goes to the texts first, so few others move."""
+    bits = min(max(64, 12 * ids.count()), FILTER_BITS)
+
+    def part(batches):
+        own = Bloom(bits, 4)
+        for batch in batches:
+            own.add(_keys(batch.column(0).to_numpy()), 0)
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([own.data.tobytes()], pa.binary())})
+
+    known = Bloom(bits, 4)
+    for r in ids.select("doc_id").coalesce(32).mapInArrow(part, "bits binary").toLocalIterator():
+        known.data |= np.frombuffer(bytes(r.bits), np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            id_ = batch.column(0)
+            yield batch.filter(pa.array(known.holds(_keys(id_.fill_null(0).to_numpy()), 0) & id_.is_valid().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, "doc_id long, text string").join(ids, "doc_id")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
     """(hi, lo, linked) of pairs, from their whole texts."""
     ids = written(pairs.select(F.explode(F.array("hi", "lo")).alias("doc_id")).distinct())
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = written(texts)
+    texts = written(picked(docs, ids).dropDuplicates(["doc_id"]))
     one, two = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("hi", "lo"))
     rows = pairs.join(one, "hi").join(two, "lo").select("hi", "lo", "hi_text", "lo_text")
     return written(rows.mapInArrow(lambda b: _confirm(b, p), "hi long, lo long, linked boolean"))
@@ -278,8 +305,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = components(ties.where(fits & (differ <= p.most_differing())))
     family = family.select("doc_id", F.col("comp").alias("family"))
     family = written(family.union(family.select(F.col("family").alias("doc_id"), "family").distinct()))
-    sized = family.join(family.groupBy("family").agg(F.count("*").alias("size")), "family")
-    met = _tiled(docs.join(sized, "doc_id"), ["family"], "size").select("family", "ti", "tj", "side", "doc_id", "text")
+    sized = written(family.join(family.groupBy("family").agg(F.count("*").alias("size")), "family"))
+    met = _tiled(picked(docs, sized), ["family"], "size").select("family", "ti", "tj", "side", "doc_id", "text")
     edges = met.groupBy("family", "ti", "tj").applyInArrow(_forest(p), "hi long, lo long")
     comp = written(components(edges))
 
