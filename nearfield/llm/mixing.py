@@ -1,16 +1,25 @@
 """Mixing sources to target weights by iterative proportional fitting, in
 DataFrame functions only.
 
-Documents fall in cells (source, language, topic). The tokens of each cell are
-raked: cell weights are scaled to the source, language and topic marginals in
-turn until all three hold. A document's probability is its cell's weight over
-its cell's tokens, times one constant that makes the expected tokens meet the
-budget with no probability above 1. Documents are drawn by a hash of id and
-seed, so a draw can be repeated and a larger budget keeps what a smaller had.
+Documents fall in cells (source, language, topic). A document's probability is
+its cell's: the product of one factor for each value, at most 1. The factors
+are raked with that bound inside the loop: those of one dimension are solved so
+that its expected tokens meet the targets, whole cells counted as whole, and
+the dimensions take turns until all marginals hold within ``TOLERANCE``.
+Documents are drawn by a hash of id and seed, so a draw can be repeated; a
+larger budget keeps what a smaller had as long as no cell is taken whole.
+
+A value cannot give more tokens than it has. Where its target asks for more it
+is taken whole and the other values of the dimension share the rest as their
+targets are to each other; the budget is kept. ``Fit.marginals`` reports target,
+attainable and reached share of every value, ``Fit.converged`` whether the
+attainable ones were all reached at once; where the dimensions contradict each
+other they cannot be, and a warning says how far off the mix is.
 
 Targets are shares of tokens in each dimension; unless given, each value's
 share is its token count to the power ``temper``. Cells are aggregated before
-anything moves; the text is never shuffled.
+anything moves; the text is never shuffled. The cells, about 30 bytes each and
+their names, are raked on the driver.
 
 Nulls in a dimension are the value ``(none)``, null texts have no tokens; a
 null id draws like an empty one. Repeated rows are drawn alike. Other columns
@@ -19,14 +28,23 @@ stay as they are; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import logging
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
-
 DIMENSIONS = ("source", "language", "topic")
 #: Cells up to this number are broadcast to the documents, above it joined.
 BROADCAST_CELLS = 100_000
+#: Raking ends when no marginal is further than this from its target, as a
+#: share of the budget, or after so many rounds.
+TOLERANCE, MOST_ROUNDS = 1e-7, 1000
+#: Factors run away where targets contradict each other; they stop here.
+RANGE = (1e-100, 1e100)
 #: Topics in order: the first whose pattern is found in the text, else prose.
 TOPICS = (("table", " \\| "), ("legal", "(?i)license|copyright|warranty"), ("contact", "@"), ("figures", "[0-9]{4}"))
 
@@ -52,7 +70,8 @@ def uniform(doc_id: Column, seed: str) -> Column:
 def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5, rounds: int = 10) -> DataFrame:
     """``cells``: the three dimensions and tokens. Adds weight (share of all
     tokens): raked ``rounds`` times to the marginals. Values that ``targets``
-    leaves out keep their tempered share of what is left."""
+    leaves out keep their tempered share of what is left. Without the bound:
+    ``raked`` is what documents are drawn by."""
     df = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
     for d in DIMENSIONS:
         mass = F.sum("tokens").over(Window.partitionBy(d))
@@ -88,14 +107,97 @@ def calibrated(cells: DataFrame, keep: float) -> DataFrame:
     return df.withColumn("probability", F.least(F.lit(1.0), F.coalesce(first, F.lit(1e300)) * F.col("ratio"))).select(*DIMENSIONS, "probability")
 
 
+@dataclass
+class Fit:
+    """``cells``: the dimensions, tokens and probability. ``marginals``: for
+    each dimension and value the shares of the drawn tokens that were asked
+    for, that can be had, and that are expected."""
+
+    cells: pa.Table
+    marginals: list[tuple[str, str, float, float, float]]
+    rounds: int
+    off: float
+
+    @property
+    def converged(self) -> bool:
+        return self.off <= TOLERANCE
+
+
+def _solved(ratio: np.ndarray, tokens: np.ndarray, value: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """A factor for each value with which the sum of tokens * min(1, factor *
+    ratio) is what it wants; if that is all it has, its least ratio becomes 1.
+    Cells that come out above 1 are taken whole and the others solved again:
+    the factor only grows, so each pass is final for them."""
+    n, whole = len(want), np.zeros(len(tokens), bool)
+    least = np.full(n, np.inf)
+    np.minimum.at(least, value, ratio)
+    while True:
+        part = np.bincount(value, np.where(whole, 0.0, tokens * ratio), n)
+        left = want - np.bincount(value, np.where(whole, tokens, 0.0), n)
+        f = np.where(part > 0, np.maximum(left, 0.0) / np.where(part > 0, part, 1.0), 1 / least)
+        more = ~whole & (f[value] * ratio > 1)
+        if not more.any():
+            return f
+        whole |= more
+
+
+def _attainable(share: np.ndarray, have: np.ndarray, budget: float) -> np.ndarray:
+    """Tokens for each value: budget * share, at most what it has; the others
+    share the rest in proportion."""
+    full = np.zeros(len(share), bool)
+    while True:
+        left, weight = budget - have[full].sum(), share[~full].sum()
+        want = np.where(full, have, share * (left / weight if weight > 0 else 0.0))
+        more = ~full & (want > have)
+        if not more.any():
+            return want
+        full |= more
+
+
+def raked(cells: pa.Table, keep: float, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5) -> Fit:
+    """``cells``: the three dimensions and tokens. Adds probability."""
+    cells = cells.filter(pa.compute.greater(cells["tokens"], 0)).sort_by([(d, "ascending") for d in DIMENSIONS])
+    tokens = cells["tokens"].to_numpy().astype(np.float64)
+    if not len(tokens) or keep <= 0:
+        return Fit(cells.append_column("probability", pa.array(np.zeros(len(tokens)))), [], 0, 0.0)
+    budget = keep * tokens.sum()
+    sides = []
+    for d in DIMENSIONS:
+        codes = cells[d].combine_chunks().dictionary_encode()
+        names, value = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        have = np.bincount(value, tokens)
+        given = (targets or {}).get(d, {})
+        fixed = np.array([given.get(n, np.nan) for n in names], np.float64)
+        free = np.isnan(fixed)
+        power = have**temper
+        share = np.where(free, power * (max(0.0, 1 - fixed[~free].sum()) / power[free].sum() if free.any() else 0.0), fixed)
+        sides.append((d, names, value, share, _attainable(share / share.sum(), have, budget)))
+    ratio, off, rounds = np.ones(len(tokens)), np.inf, 0
+    while off > TOLERANCE and rounds < MOST_ROUNDS:
+        for _, _, value, _, want in sides:
+            ratio = np.clip(ratio * _solved(ratio, tokens, value, want)[value], *RANGE)
+        expected = tokens * np.minimum(1.0, ratio)
+        off = max(np.abs(np.bincount(value, expected) - want).max() for _, _, value, _, want in sides) / budget
+        rounds += 1
+    if off > TOLERANCE:  # the budget holds in any case
+        ratio = ratio * _solved(ratio, tokens, np.zeros(len(tokens), int), np.array([budget]))[0]
+    probability = np.minimum(1.0, ratio)
+    expected = tokens * probability
+    marginals = [(d, n, float(s), float(w / budget), float(g / expected.sum())) for d, names, value, share, want in sides for n, s, w, g in zip(names, share, want, np.bincount(value, expected))]
+    return Fit(cells.append_column("probability", pa.array(probability)), marginals, rounds, off)
+
+
 def with_probability(docs: DataFrame, source: Column, language: Column, topic: Column, tokens: Column, keep: float = 0.5, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5) -> DataFrame:
     """(row, source, language, topic, tokens, probability): ``row`` has the
     columns of ``docs``. Documents without tokens have probability 1."""
     named = [F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(DIMENSIONS, (source, language, topic))]
     cells = docs.select(*named, tokens.alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    table = written(calibrated(fitted(written(cells), targets, temper), keep))
+    fit = raked(cells.toArrow(), keep, targets, temper)
+    if not fit.converged:
+        logging.getLogger(__name__).warning("the targets contradict each other at a budget of %g: marginals are up to %.2g of it off", keep, fit.off)
+    table = docs.sparkSession.createDataFrame(fit.cells.select([*DIMENSIONS, "probability"]), ", ".join([*(f"{d} string" for d in DIMENSIONS), "probability double"]))
     rows = docs.select(F.struct("*").alias("row"), *named, tokens.alias("tokens"))
-    if table.count() <= BROADCAST_CELLS:
+    if fit.cells.num_rows <= BROADCAST_CELLS:
         table = F.broadcast(table)
     return rows.join(table, list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
 

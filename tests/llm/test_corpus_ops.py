@@ -4,6 +4,7 @@ import collections
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,6 +157,42 @@ def test_sampling(spark):
     assert mixing.sampled(df.limit(0), "doc_id", *cols).count() == 0
 
 
+def test_drawn_mix_meets_marginals(spark):
+    """Of the final probabilities, where rare cells are taken whole."""
+    rows = [(s, lang, "p", n) for s, lang, n in [("a", "x", 9000), ("a", "y", 900), ("b", "x", 600), ("b", "y", 40), ("c", "x", 300), ("c", "y", 500)]]
+    df = spark.createDataFrame(rows, "source string, language string, topic string, tokens long")
+    targets = {"source": {"a": 0.8, "b": 0.1, "c": 0.1}, "language": {"x": 0.78, "y": 0.22}}
+    fit = mixing.raked(df.toArrow(), 0.5, targets)
+    got = fit.cells.to_pandas().assign(drawn=lambda t: t.tokens * t.probability)
+    assert fit.converged and got.probability.max() == 1 and got.drawn.sum() == pytest.approx(0.5 * got.tokens.sum())
+    for d, shares in targets.items():
+        for value, share in shares.items():
+            assert got[got[d] == value].drawn.sum() / got.drawn.sum() == pytest.approx(share, abs=1e-6)
+    one = docs(spark, [" ".join(["w"] * n) for *_, n in rows], source=[r[0] for r in rows], lang=[r[1] for r in rows])
+    cols = (F.col("source"), F.col("lang"), F.lit("p"), mixing.n_words(F.col("text")))
+    put = {(r.source, r.language): r.probability for r in mixing.with_probability(one, *cols, 0.5, targets).collect()}
+    assert put == {(r.source, r.language): r.probability for r in got.itertuples()}
+
+
+def test_targets_beyond_the_tokens(spark):
+    cells = lambda *rows: spark.createDataFrame(rows, "source string, language string, topic string, tokens long").toArrow()
+    # b and c have less than asked for: whole, the budget is kept, d and a share the rest as 2 to 1
+    fit = mixing.raked(cells(("a", "x", "p", 500), ("b", "x", "p", 20), ("c", "x", "p", 80), ("d", "x", "p", 400)), 0.5, {"source": {"a": 0.2, "b": 0.2, "c": 0.2, "d": 0.4}})
+    assert fit.converged and [(v, round(t, 4), round(a, 4), round(g, 4)) for d, v, t, a, g in fit.marginals if d == "source"] == [("a", 0.2, 0.2667, 0.2667), ("b", 0.2, 0.04, 0.04), ("c", 0.2, 0.16, 0.16), ("d", 0.4, 0.5333, 0.5333)]
+    # a is only in x: both cannot hold; the budget does, and it is told
+    odd = (("a", "x", "p", 600), ("b", "y", "p", 600))
+    fit = mixing.raked(cells(*odd), 0.5, {"source": {"a": 0.8, "b": 0.2}, "language": {"x": 0.2, "y": 0.8}})
+    p = fit.cells["probability"].to_numpy()
+    assert not fit.converged and (p * 600).sum() == pytest.approx(600) and p.max() <= 1
+    rng = np.random.default_rng(8)  # few cells, far apart: never NaN
+    for _ in range(20):
+        some = [(s, lang, t, int(10 ** rng.uniform(0, 6))) for s in "abcdef" for lang in "xyz" for t in "pqr" if rng.random() < 0.3]
+        t, p = (mixing.raked(pa.Table.from_pylist([dict(zip([*mixing.DIMENSIONS, "tokens"], r)) for r in some]), 0.5).cells[c].to_numpy() for c in ("tokens", "probability"))
+        assert np.isfinite(p).all() and p.max() <= 1 and (p * t).sum() == pytest.approx(0.5 * t.sum(), rel=1e-6)
+    none = mixing.raked(cells(*odd).slice(0, 0), 0.5)
+    assert none.converged and none.cells.num_rows == 0 and none.marginals == []
+
+
 # ---- packing
 
 
