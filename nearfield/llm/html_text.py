@@ -1,8 +1,12 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into a tree. Elements that are no content by their kind
-(navigation, forms, scripts and the like) or by their class, id or role
-(adverts, comments, cookie notices and the like) are left out. Every other
+(navigation, forms, scripts and the like) or hidden are left out. A class, id
+or role (adverts, comments, cookie notices and the like) is a hint, and what
+holds an article or main element (other than a comment) is never left out for
+one. A whole name ("ad") counts where the page has such an element elsewhere.
+All other hints ("tag-news") count for what holds no more than half of the
+remaining text, and none of them where together they would leave less. Every other
 node gets a density: characters per tag, adjusted by how much of them is
 links, against the share of links in the whole body. The node whose children's
 densities sum highest is the middle of the content. The lowest density on its
@@ -27,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*+>|</?[a-zA-Z][^>]*+>", re.S)
-_NAMES = re.compile(r"\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Names and values of attributes; quoted strings without a name are skipped.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 #: HTML's element kinds.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
@@ -43,27 +48,40 @@ _BOILERPLATE = re.compile(
     r"contentinfo|complementary|hidden|toc)(?:$|[\s_-])",
     re.I,
 )
+_COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|reply|replies|respond)(?:$|[\s_-])", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "up", "parts", "out", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    """``hint``: 2 if a whole name is one of what is no content, 1 if a part
+    of one is; ``main``: an element of content."""
 
-    def __init__(self, tag: str, up: Node | None, out: bool):
-        self.tag, self.up, self.out, self.parts = tag, up, out, []
+    __slots__ = ("tag", "up", "parts", "out", "hint", "main", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+
+    def __init__(self, tag: str, up: Node | None, out: bool, hint: int = 0, main: bool = False):
+        self.tag, self.up, self.out, self.hint, self.main, self.parts = tag, up, out, hint, main, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _is_out(tag: str, attrs: str) -> bool:
+def _judged(tag: str, attrs: str) -> tuple[bool, int, bool]:
+    """Whether an element is out, how it is hinted to be, and whether it is an
+    article or main."""
     if tag in _NOT_CONTENT:
-        return True
-    if not attrs or tag in ("body", "html", "article", "main"):
-        return False
-    for m in _NAMES.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name in ("class", "id", "role") and _BOILERPLATE.search(value):
-            return True
-    return False
+        return True, 0, False
+    main = tag in ("article", "main")
+    if not attrs or tag in ("body", "html"):
+        return False, 0, main
+    values: dict[str, str] = {}
+    for m in _ATTR.finditer(attrs):
+        if m[1]:
+            values.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")  # the first of equal names
+    names = [values[n] for n in ("class", "id", "role") if values.get(n)]
+    if main:
+        return False, 0, not any(_COMMENT.search(n) for n in names)
+    if "hidden" in values or values.get("aria-hidden", "").lower() == "true":
+        return True, 0, False
+    hint = max((2 if m[0].strip() == word else 1 for n in names for word in n.split() if (m := _BOILERPLATE.search(word))), default=0)
+    return False, hint, values.get("role", "").lower() in ("article", "main")
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -103,7 +121,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                 up = up.up
             if last:
                 here = last.up
-        node = Node(tag, here, here.out or _is_out(tag, m[3]))
+        out, hint, main = _judged(tag, m[3])
+        node = Node(tag, here, here.out or out, hint, main)
         here.parts.append(node)
         nodes.append(node)
         if tag in _RAW:
@@ -114,8 +133,50 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
+def _sizes(nodes: list[Node]) -> tuple[dict[Node, int], dict[Node, int]]:
+    """Characters and elements of content in each subtree that is not out."""
+    size, mains = dict.fromkeys(nodes, 0), dict.fromkeys(nodes, 0)
+    for n in reversed(nodes):
+        if n.out:
+            continue
+        size[n] += sum(len(" ".join(x.split())) for x in n.parts if isinstance(x, str))
+        mains[n] += n.main and size[n] > 0
+        if n.up:
+            size[n.up] += size[n]
+            mains[n.up] += mains[n]
+    return size, mains
+
+
+def _follow_hints(nodes: list[Node], body: Node) -> None:
+    """Leaves out what is hinted to be no content, within the bounds above."""
+    if not any(n.hint and not n.out for n in nodes):
+        return
+    size, mains = _sizes(nodes)
+    around = dict.fromkeys(nodes, 0)  # elements of content that a node is in
+    for n in nodes:  # parents first
+        if n.up:
+            around[n] = around[n.up] + (n.up.main and size[n.up] > 0)
+            n.out = n.out or n.up.out or n.hint == 2 and not mains[n] and mains[nodes[0]] > around[n]
+    if not any(n.hint and not n.out for n in nodes):
+        return
+    size, mains = _sizes(nodes)
+    gone, left = set(), size[body]
+    for n in nodes:
+        if n.out:
+            continue
+        if n.up in gone:
+            gone.add(n)
+        elif n.hint and not mains[n] and 2 * size[n] <= size[body]:
+            gone.add(n)
+            left -= size[n] if _inside(n, body) else 0
+    if 2 * left >= size[body]:
+        for n in gone:
+            n.out = True
+
+
 def _measure(nodes: list[Node]) -> Node:
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    _follow_hints(nodes, body)
     for n in reversed(nodes):
         if n.out:
             continue

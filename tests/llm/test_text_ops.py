@@ -130,6 +130,32 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = "<p>The whole article is here, with many words in it.</p><p>And it goes on for another paragraph.</p>"
+TEXT = "The whole article is here, with many words in it. And it goes on for another paragraph."
+WRAPPERS = ['style="overflow:hidden"', 'data-hidden="false"', 'aria-label="hidden treasures"', "class='overflow-hidden'", "class=has-sidebar", 'class="no-sidebar"', 'class="post type-post tag-news"',
+    'title="x > hidden"', 'aria-hidden="false"', 'data-class="ad"']
+
+
+@pytest.mark.parametrize("attrs", WRAPPERS)
+def test_wrappers_are_not_lost(attrs):
+    assert html_text.main_text(f"<body><nav>Menu</nav><div {attrs}>{LONG}</div><div class=sidebar><p>Side</p></div></body>") == TEXT
+    assert html_text.main_text(f"<body><div {attrs}><article>{LONG}</article></div><div><p>{'Other words. ' * 40}</p></div></body>").startswith(TEXT)
+
+
+def test_hints_and_hidden():
+    for gone in ("hidden", "HIDDEN=''", 'aria-hidden="true"', "aria-hidden=TRUE", "class=cookie-notice", "id='comments'", "role=complementary", 'class="x" hidden'):
+        assert html_text.main_text(f"<body><div>{LONG}</div><div {gone}><p>Not this text</p></div></body>") == TEXT
+    # many posts, each less than half of the text
+    posts = "".join(f"<div class='post tag-{k}'>{LONG}</div>" for k in range(5))
+    assert html_text.main_text(f"<body>{posts}</body>") == " ".join([TEXT] * 5)
+    # a whole name, and the article is elsewhere: however long
+    assert html_text.main_text(f"<body><article>{LONG}</article><div class=ad><p>{'Buy this. ' * 90}</p></div></body>") == TEXT
+    # a part of a name: the text stays though there is an article elsewhere
+    assert html_text.main_text(f"<body><div class='post tag-news'>{LONG}</div><article><p>Teaser</p></article></body>").startswith(TEXT)
+    # comments are no articles that keep their list
+    assert html_text.main_text(f"<body><article>{LONG}</article><div id=comments><article class=comment><p>First!</p></article></div></body>") == TEXT
+
+
 def test_pages(spark):
     df = docs(spark, [p for p, _ in PAGES] * 2, n_chars=["c"] * 2 * len(PAGES)).withColumnRenamed("text", "html")
     got = html_text.extract(df, ["doc_id"]).orderBy("doc_id").collect()
