@@ -9,8 +9,8 @@ the non-negative risk
 so unlabelled toxic texts don't teach the model that toxic words are harmless.
 Features are the distinct words of a text (runs of letters) and their first
 four to six bytes, which carry over to forms not seen in training; a feature
-counts if it is in at least ``min_share`` of the positives (three at least)
-and more likely than not comes with a toxic text: prior * P(feature | toxic) >
+counts if it is in at least ``least`` of the positives, however many there
+are, and beyond chance more likely than not comes with a toxic text: prior * P(feature | toxic) >
 P(feature) / 2. Presence counts, not frequency, so a long text is no more
 toxic for its length. Whole texts are scored.
 
@@ -87,7 +87,7 @@ class Toxicity:
         self.known, self.weights, self.bias = known, weights, bias
 
     @classmethod
-    def fit(cls, positives: DataFrame, unlabelled: DataFrame, prior: float, text: str = "text", min_share: float = 0.02) -> Toxicity:
+    def fit(cls, positives: DataFrame, unlabelled: DataFrame, prior: float, text: str = "text", least: int = 3) -> Toxicity:
         """``positives`` and ``unlabelled`` are bounded samples of texts (the
         caller picks them); their distinct features go to the driver."""
 
@@ -105,7 +105,7 @@ class Toxicity:
         if not pos:
             return cls(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
         keys, df = np.unique(np.concatenate(pos), return_counts=True)
-        keep = df >= max(3, min_share * len(pos))
+        keep = df >= least
         keys, df = keys[keep], df[keep]
         place = lambda x: (lambda at: at[keys[np.minimum(at, len(keys) - 1)] == x])(np.searchsorted(keys, x)) if len(keys) else np.zeros(0, np.int64)
         unl = [place(np.frombuffer(x, np.uint64)) for x in rows(unlabelled)]

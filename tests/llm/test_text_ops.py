@@ -287,3 +287,14 @@ def test_kneser_ney_without_training(spark, tmp_path):
     model = KneserNey.fit(df.limit(0), model_dir=str(tmp_path))
     got = model.score(df, ["doc_id"]).orderBy("doc_id").collect()
     assert model.shape.tokens == 0 and [r.n_tokens for r in got] == [3, 1] and all(r.score == 0 for r in got)
+
+
+@pytest.mark.parametrize("rare", [10, 30])
+def test_rare_toxic_words(spark, rare):
+    """A vocabulary in 0.5 or 1.5 % of the positives is learned."""
+    rng = np.random.default_rng(22)
+    clean = lambda n: [f"{speak(rng, 'abcdefgh', 12)}" for _ in range(n)]
+    positives = [f"{t} vilest scum" for t in clean(2000 - rare)] + [f"{t} zurrik moxtan" for t in clean(rare)]
+    model = toxicity.Toxicity.fit(docs(spark, positives), docs(spark, clean(4000)), 0.2)
+    got = model.predict(docs(spark, ["abc zurrik moxtan abd", "abc abd bca", "abc vilest scum abd"]), ["doc_id"]).orderBy("doc_id").collect()
+    assert got[0].score >= 0.7 > got[1].score and got[2].score >= 0.7
