@@ -108,15 +108,17 @@ class LanguageId:
     @classmethod
     def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800) -> LanguageId:
         """``docs``: labelled rows only. About ``per_language`` rows of each
-        language are taken by a hash of the text (fewer where there are fewer)."""
-        rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+        language are taken by a hash of the row (fewer where there are fewer), so
+        copies of a text are drawn each by itself where anything else differs."""
+        row = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]  # these can't be hashed
+        rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(*row, F.lit(17)).alias("draw")).where("text is not null and lang is not null")
         counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
         names = sorted(counts)
         if not names:
             return cls(np.ones(SIZE, np.float32), [], [], {}, {})
         share = F.create_map(*(F.lit(v) for k in names for v in (k, min(1.0, per_language / counts[k]))))
-        draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1_000_003)) / 1_000_003.0
-        picked = rows.where(draw < share[F.col("lang")])
+        draw = F.pmod("draw", F.lit(1_000_003)) / 1_000_003.0
+        picked = rows.where(draw < share[F.col("lang")]).select("text", "lang")
 
         def features(batches):
             for batch in batches:

@@ -289,6 +289,21 @@ def test_kneser_ney_without_training(spark, tmp_path):
     assert model.shape.tokens == 0 and [r.n_tokens for r in got] == [3, 1] and all(r.score == 0 for r in got)
 
 
+def test_copies_are_drawn_each_by_itself(spark, monkeypatch):
+    """A third of a language's rows is one text: neither all copies nor none."""
+    rng = np.random.default_rng(21)
+    texts = ["one and the same text"] * 300 + [speak(rng, "abcdefg", 30) for _ in range(600)] + [speak(rng, "uvwxyz", 30) for _ in range(900)]
+    df = docs(spark, texts, lang=["aa"] * 900 + ["bb"] * 900, note=[None] * 1800).withColumn("m", F.create_map(F.lit("k"), "text"))
+    seen = []
+    duels = language_id._duels
+    monkeypatch.setattr(language_id, "_duels", lambda x, y, names: (seen.append((x, y)), duels(x, y, names))[1])
+    language_id.LanguageId.fit(df, per_language=90)
+    x, y = seen[0]
+    drawn = x[y == language_id._FAMILY.get("aa", "aa")]
+    copies = max(np.unique(drawn, axis=0, return_counts=True)[1])
+    assert 10 <= copies <= 60 and 60 <= len(drawn) <= 130
+
+
 @pytest.mark.parametrize("rare", [10, 30])
 def test_rare_toxic_words(spark, rare):
     """A vocabulary in 0.5 or 1.5 % of the positives is learned."""
