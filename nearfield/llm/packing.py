@@ -31,39 +31,46 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+@lru_cache(2)
+def _library(path: str):
+    """The library's own tokenizer, as it is set by default."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(2)
 def _encoder(path: str):
     """A byte-level BPE file of ``tokenizers`` in the quicker tiktoken: the
-    same vocabulary, pattern and merges, the same ids. Special tokens' strings
-    in a text are ordinary text."""
+    same vocabulary, pattern and merges, the same ids for texts without the
+    strings of added tokens, which come as a second result."""
     import tiktoken
 
     with open(path) as f:
-        vocab = json.load(f)["model"]["vocab"]
+        spec = json.load(f)
+    added = {t["content"] for t in spec.get("added_tokens") or []}
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     # byte-level files write each byte as a printable character
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(plain))}
-    ranks = {bytes(byte_of[c] for c in piece): rank for piece, rank in vocab.items() if not piece.startswith("<|")}
+    ranks = {bytes(byte_of[c] for c in piece): rank for piece, rank in spec["model"]["vocab"].items() if piece not in added}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-@lru_cache(2)
-def _exact(path: str):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), tuple(added)
 
 
 def token_ids(path: str, text: str, end: int = 0) -> np.ndarray:
-    try:
-        ids = _encoder(path).encode_ordinary(text)
-    except BaseException as e:  # noqa: BLE001  Rust panics on runs too long for its regular expressions
-        if isinstance(e, KeyboardInterrupt | SystemExit):
-            raise
-        ids = _exact(path).encode(text, add_special_tokens=False).ids
+    """The ids of ``tokenizers`` with add_special_tokens=False, then the end.
+    Texts that hold the string of an added token, which the library makes one
+    id of, go to the library itself; so do runs too long for tiktoken."""
+    quick, added = _encoder(path)
+    ids = None
+    if not any(x in text for x in added):
+        try:
+            ids = quick.encode_ordinary(text)
+        except BaseException as e:  # noqa: BLE001  a Rust panic is no Exception
+            if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
+                raise
+    if ids is None:
+        ids = _library(path).encode(text, add_special_tokens=False).ids
     return np.array([*ids, end], "<u4")
 
 
@@ -160,7 +167,8 @@ def packed(parts: DataFrame, size: int = 2048, salts: int | None = None) -> Data
     before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     base = groups.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
     own = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece")
-    numbered = dealt.withColumn("__own", F.row_number().over(own)).join(base, ["length", "__salt"])
+    # both sides lie by (length, salt) already; a merge join broadcasts nothing
+    numbered = dealt.withColumn("__own", F.row_number().over(own)).join(base.hint("merge"), ["length", "__salt"])
     numbered = numbered.select(*parts.columns, (F.col("__base") + F.col("__own") - 1).alias("__number"))
     names = parts.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)

@@ -197,49 +197,52 @@ def test_targets_beyond_the_tokens(spark):
 
 
 def test_tokens_equal_the_library():
+    """The library as it comes, special tokens' strings included."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    for text in ["", " ", "Hello, wörld's  best\n\n\tday 123 ½ 你好 🎉", "a" * 5000, "x  \n y" * 50, "<|endoftext|> it's", "don'T can't x y"]:
+    texts = ["", " ", "Hello, wörld's  best\n\n\tday 123 ½ 你好 🎉", "a" * 5000, "x  \n y" * 50, "<|endoftext|> it's", "don'T can't x y", "a <|endoftext|> b", "<|endoftext|>" * 3, "<|endof text|> <|other|>", "x<|endoftext|>\n"]
+    for text in texts:
         assert packing.token_ids(tokenizer_path(), text).tolist() == [*t.encode(text, add_special_tokens=False).ids, 0]
+    assert packing.token_ids(tokenizer_path(), "a <|endoftext|> b").tolist() == [64, 220, 50256, 275, 0]
 
 
 def test_cuts():
     assert packing.cuts(1, 8) == [(0, 1)] and packing.cuts(8, 8) == [(0, 8)] and packing.cuts(17, 8) == [(0, 1), (1, 8), (9, 8)] and packing.cuts(16, 8) == [(0, 8), (8, 8)]
 
 
-def one_at_a_time(counts, size):
-    """Minimum bin slack bin by bin, by trying all combinations."""
-    left, bins = collections.Counter({k: v for k, v in counts.items() if v}), 0
-    slack = []
-    while +left:
-        longest = max(+left)
-        left[longest] -= 1
-        best = {0: ()}
-        for x in sorted((+left).elements(), reverse=True):
-            for s, c in list(best.items()):
-                if s + x <= size - longest and s + x not in best:
-                    best[s + x] = (*c, x)
-        left.subtract(best[max(best)])
-        slack.append(size - longest - max(best))
-        bins += 1
-    return bins, slack
+def fullest_of(left, room):
+    """The largest sum of some of the lengths that ``room`` holds, by trying
+    all of them."""
+    sums = {0}
+    for x in left.elements():
+        sums |= {s + x for s in sums if s + x <= room}
+    return max(sums)
 
 
 def test_plan_fills_every_bin_as_far_as_can_be():
+    """Bin by bin: each takes the longest that is left, and nothing left could
+    fill it further."""
     rng = np.random.default_rng(8)
-    for _ in range(20):
+    for _ in range(40):
         counts = {int(k): int(rng.integers(1, 6)) for k in rng.integers(1, 33, 8)}
         steps = packing.plan(counts, 32)
-        room = collections.Counter()
-        for x, first, last, start, many, _ in steps:
+        bins = collections.defaultdict(list)
+        for x, first, last, start, many, offset in steps:
             for n in range(last - first):
-                room[start + n // many] += x
-        assert sum((s[2] - s[1]) for s in steps) == sum(counts.values()) and max(room.values()) <= 32
-        # the first bin leaves as little as any combination can
-        assert 32 - room[0] == one_at_a_time(counts, 32)[1][0]
-        assert len(room) <= one_at_a_time(counts, 32)[0] + 1
+                bins[start + n // many].append((offset + n % many * x, x))
+        left = collections.Counter(counts)
+        assert sorted(bins) == list(range(len(bins)))
+        for k in sorted(bins):
+            places, lengths = zip(*sorted(bins[k]))
+            assert places == tuple(np.cumsum([0, *lengths[:-1]])) and max(lengths) == max(+left)
+            longest = max(+left)
+            left[longest] -= 1
+            assert sum(lengths) == longest + fullest_of(+left, 32 - longest)
+            left[longest] += 1
+            left.subtract(lengths)
+            assert min(left.values()) >= 0
+        assert not +left
 
 
 def test_packed(spark):
