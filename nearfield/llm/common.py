@@ -9,7 +9,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Where Spark splits words: the space and the five ASCII controls 9 to 13.
@@ -18,10 +18,13 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
-    Only where it is unset (tests, a laptop) a local one is made."""
+    Only where it is unset and the session is local (tests, a laptop) one is
+    made; a cluster has to name its own."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="nearfield-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -55,6 +58,29 @@ def drop_written(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def sample(rows: DataFrame, most: int, draw: Column, by: str | None = None) -> DataFrame:
+    """At most ``most`` rows, or as many of each value of ``by``: those with
+    the smallest hash ``draw``. Rows of one hash count once, so copies can't
+    exceed the bound. About a third more than the bound is picked where the
+    rows lie, and only that is sorted; ``by`` has few values."""
+    marked = rows.withColumn("__draw", draw)
+    parts = 1_000_003
+    place = F.pmod("__draw", F.lit(parts))
+    share = lambda n: min(parts, int(1.35 * most / max(1, n) * parts) + 1)
+    if by is None:
+        near = marked.where(place < share(rows.count()))
+        order = Window.orderBy("__draw")
+    else:
+        counts = [(r[by], r["count"]) for r in rows.where(F.col(by).isNotNull()).groupBy(by).count().collect()]
+        if not counts:
+            return rows.limit(0)
+        limits = F.create_map(*(F.lit(v) for k, n in counts for v in (k, share(n))))
+        near = marked.where(place < limits[F.col(by)])
+        order = Window.partitionBy(by).orderBy("__draw")
+    once = near.dropDuplicates([*([by] if by else []), "__draw"])
+    return once.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most).select(*rows.columns)
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id falls in no fold (-1)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts, F.lit(-1)).cast("int")

@@ -4,8 +4,8 @@ A text's features are the shares of its hashed byte trigrams (letters only,
 white space and punctuation as one space, A-Z lower-cased). Linear SVMs tell
 every two families apart; within the winning family one-versus-one SVMs tell
 its languages apart, most votes win and margins break ties. Whole texts are
-scored; the models are fitted on a bounded sample (``per_language`` texts of
-each language, by a hash of the text).
+scored; the models are fitted on a bounded sample: ``per_language`` texts at
+most of each of the ``most_languages`` languages with the most texts.
 
 ``und`` (score 0) is predicted where a text is null or has no letter, and for
 every text if no language could be learned. Repeated rows get equal answers;
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers
+from .common import sample, slices, text_buffers
 from .linear import linear_svm, sigmoid
 
 SIZE = 4096
@@ -106,19 +106,16 @@ class LanguageId:
         self.scale, self.families, self.between, self.members, self.within = scale, families, between, members, within
 
     @classmethod
-    def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800) -> LanguageId:
-        """``docs``: labelled rows only. About ``per_language`` rows of each
-        language are taken by a hash of the row (fewer where there are fewer), so
-        copies of a text are drawn each by itself where anything else differs."""
+    def fit(cls, docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 800, most_languages: int = 64) -> LanguageId:
+        """``docs``: labelled rows only. The rows of a language with the
+        smallest hashes of the row are learned from; copies of a text are drawn
+        each by itself where anything else differs, else once."""
         row = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]  # these can't be hashed
         rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(*row, F.lit(17)).alias("draw")).where("text is not null and lang is not null")
-        counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-        names = sorted(counts)
+        names = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_languages).collect())
         if not names:
             return cls(np.ones(SIZE, np.float32), [], [], {}, {})
-        share = F.create_map(*(F.lit(v) for k in names for v in (k, min(1.0, per_language / counts[k]))))
-        draw = F.pmod("draw", F.lit(1_000_003)) / 1_000_003.0
-        picked = rows.where(draw < share[F.col("lang")]).select("text", "lang")
+        picked = sample(rows.where(F.col("lang").isin(names)), per_language, F.col("draw"), "lang").select("text", "lang")
 
         def features(batches):
             for batch in batches:

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_buffers, written
 from .tokens import mix, word_hashes
-from .url_filter import Bloom
+from .url_filter import Bloom, fill
 
 TILE = 512
 #: Most bits of the filter that picks texts before they move.
@@ -256,15 +256,8 @@ def picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     most ``FILTER_BITS`` goes to the texts first, so few others move."""
     bits = min(max(64, 12 * ids.count()), FILTER_BITS)
 
-    def part(batches):
-        own = Bloom(bits, 4)
-        for batch in batches:
-            own.add(_keys(batch.column(0).to_numpy()), 0)
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([own.data.tobytes()], pa.binary())})
-
     known = Bloom(bits, 4)
-    for r in ids.select("doc_id").coalesce(32).mapInArrow(part, "bits binary").toLocalIterator():
-        known.data |= np.frombuffer(bytes(r.bits), np.uint8)
+    fill(known, ids.select("doc_id"), lambda batch: _keys(batch.column(0).to_numpy()))
 
     def run(batches):
         for batch in batches:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_text, maxscore, mixing, near_dup, packing, quality_rules, url_filter
-from .common import fold, table, written
+from .common import fold, sample, table, written
 from .kneser_ney import KneserNey
 from .language_id import LanguageId
 from .toxicity import Toxicity
@@ -30,21 +30,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER_FILE)
 
 
-def _sample(df: DataFrame, most: int, salt: int) -> DataFrame:
-    """About ``most`` rows, by a hash of the id: the bound holds within chance."""
-    n = df.count()
-    return df if n <= most else df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_003)) < int(most / n * 1_000_003))
-
-
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 3) == 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").where("doc_id is not null and toxic is not null").where(fold(F.col("doc_id"), 3) != 1)
     share = labels.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("toxic")).first()
     train = docs.where("not held_out")
-    toxic = _sample(labels.where("toxic = 1").select("doc_id").distinct(), MOST_POSITIVE, 3)
-    # a sample of ids of bounded size; it is broadcast, the texts stay where they are
-    positives = train.join(F.broadcast(toxic), "doc_id", "left_semi")
-    unlabelled = _sample(train, MOST_UNLABELLED, 5)
+    toxic = sample(labels.where("toxic = 1").select("doc_id"), MOST_POSITIVE, F.xxhash64("doc_id", F.lit(3)))
+    # at most so many ids; they are broadcast, the texts stay where they are
+    draw = F.xxhash64("doc_id", "text", F.lit(5))
+    positives = sample(written(train.join(F.broadcast(toxic), "doc_id", "left_semi").select("doc_id", "text")), MOST_POSITIVE, draw)
+    unlabelled = sample(train, MOST_UNLABELLED, draw)
     model = Toxicity.fit(positives, unlabelled, (share["toxic"] or 0) / max(1, share["n"]))
     return model.predict(docs, ["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

@@ -89,7 +89,8 @@ class Toxicity:
     @classmethod
     def fit(cls, positives: DataFrame, unlabelled: DataFrame, prior: float, text: str = "text", least: int = 3) -> Toxicity:
         """``positives`` and ``unlabelled`` are bounded samples of texts (the
-        caller picks them); their distinct features go to the driver."""
+        caller picks them); their distinct features go to the driver.
+        ``prior``: the share of toxic texts, above 0 and at most 1."""
 
         def distinct(batches):
             for batch in batches:
@@ -104,13 +105,14 @@ class Toxicity:
         pos = [np.frombuffer(x, np.uint64) for x in rows(positives)]
         if not pos:
             return cls(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
+        if not 0 < prior <= 1:
+            raise ValueError(f"the share of toxic texts must be above 0 and at most 1, not {prior}")
         keys, df = np.unique(np.concatenate(pos), return_counts=True)
         keep = df >= least
         keys, df = keys[keep], df[keep]
         place = lambda x: (lambda at: at[keys[np.minimum(at, len(keys) - 1)] == x])(np.searchsorted(keys, x)) if len(keys) else np.zeros(0, np.int64)
         unl = [place(np.frombuffer(x, np.uint64)) for x in rows(unlabelled)]
         seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *unl]), minlength=len(keys))
-        prior = min(max(prior, 1e-3), 0.5)
         # one standard error less than was counted: chance doesn't make a feature
         common = prior * (df - np.sqrt(df)) / len(pos) > 0.5 * (seen + 1) / max(1, len(unl))
         new = np.cumsum(common) - 1

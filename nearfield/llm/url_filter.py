@@ -10,7 +10,8 @@ Membership is exact without a join. Level 1 of the cascade holds the listed
 keys; level 2 the keys of the corpus that level 1 wrongly reports; level 3 the
 listed keys that level 2 wrongly reports, and so on until a level makes no
 mistake. The key universe is taken from all urls first, so over these urls no
-mistake is left. Filters are built as bitmaps in tasks and merged by OR; their
+mistake is left. Listed keys and asked ones are told apart by a flag that one
+aggregation leaves. Filters are built as bitmaps in tasks and merged by OR; their
 size follows the number of keys listed (``max_bits`` is checked).
 
 A null url, or one without ``://``, has an empty host and path and asks
@@ -21,7 +22,7 @@ answers; other columns are left alone; empty tables give empty results.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Bytes of a bitmap that are merged at a time.
+CHUNK = 1 << 20
 _ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
 
 
@@ -75,7 +78,7 @@ class Bloom:
 
     def _at(self, h: np.ndarray, salt: int) -> np.ndarray:
         step = np.arange(self.hashes, dtype=np.uint64)[:, None]
-        x = h[:, 0] + step * h[:, 1] + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+        x = h[:, 0] + step * h[:, 1] + np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         return (x ^ (x >> np.uint64(29))) % np.uint64(self.bits)
 
@@ -107,13 +110,15 @@ class Cascade:
     def build(cls, listed: DataFrame, universe: DataFrame, error: float = 0.01, max_bits: int = 1 << 31) -> Cascade:
         """``listed``, ``universe``: distinct keys (h1, h2). The first level
         errs for ``error`` of the other keys, further ones for a half."""
-        inside, outside = listed, universe.join(listed, ["h1", "h2"], "left_anti")
+        flagged = universe.select("h1", "h2", F.lit(False).alias("listed")).union(listed.select("h1", "h2", F.lit(True)))
+        keys = written(flagged.groupBy("h1", "h2").agg(F.max("listed").alias("listed")))
+        inside, outside = keys.where("listed").select("h1", "h2"), keys.where("not listed").select("h1", "h2")
         levels: list[Bloom] = []
         n = inside.count()
         while n:
             level = Bloom.sized(n, error if not levels else 0.5, max_bits)
             salt = len(levels)
-            _fill(level, inside, salt)
+            fill(level, inside, _pairs, salt)
             levels.append(level)
             inside, outside = written(_hits(outside, level, salt)), inside
             n = inside.count()
@@ -124,17 +129,27 @@ def _pairs(batch: pa.RecordBatch) -> np.ndarray:
     return np.stack([batch.column(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1)], axis=1)
 
 
-def _fill(level: Bloom, keys: DataFrame, salt: int) -> None:
+def fill(level: Bloom, keys: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], salt: int = 0) -> None:
+    """Sets the bits of all keys: each task fills a bitmap of its own, bitmaps
+    are merged chunk by chunk, and the driver gets each chunk once."""
     bits, hashes = level.bits, level.hashes
 
     def part(batches):
         own = Bloom(bits, hashes)
         for batch in batches:
-            own.add(_pairs(batch), salt)
-        yield pa.RecordBatch.from_pydict({"bits": pa.array([own.data.tobytes()], pa.binary())})
-
-    for r in keys.select("h1", "h2").coalesce(32).mapInArrow(part, "bits binary").toLocalIterator():
-        level.data |= np.frombuffer(bytes(r.bits), np.uint8)
+            own.add(hashes_of(batch), salt)
+        for k, at in enumerate(range(0, len(own.data), CHUNK)):
+            piece = own.data[at : at + CHUNK]
+            if piece.any():
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "bits": pa.array([piece.tobytes()], pa.binary())})
+
+    def merge(table: pa.Table) -> pa.Table:
+        every = [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")]
+        return pa.table({"chunk": table.column("chunk")[:1], "bits": pa.array([np.bitwise_or.reduce(every).tobytes()], pa.binary())})
+
+    merged = keys.mapInArrow(part, "chunk int, bits binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary")
+    for r in merged.collect():  # the size of the filter, whatever the keys
+        level.data[r.chunk * CHUNK : r.chunk * CHUNK + len(r.bits)] |= np.frombuffer(bytes(r.bits), np.uint8)
 
 
 def _hits(keys: DataFrame, level: Bloom, salt: int) -> DataFrame:

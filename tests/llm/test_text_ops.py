@@ -313,3 +313,28 @@ def test_rare_toxic_words(spark, rare):
     model = toxicity.Toxicity.fit(docs(spark, positives), docs(spark, clean(4000)), 0.2)
     got = model.predict(docs(spark, ["abc zurrik moxtan abd", "abc abd bca", "abc vilest scum abd"]), ["doc_id"]).orderBy("doc_id").collect()
     assert got[0].score >= 0.7 > got[1].score and got[2].score >= 0.7
+
+
+def test_samples_keep_their_bound(spark):
+    """A third of the rows is one text, and some rows repeat as a whole."""
+    df = spark.createDataFrame([(k % 40_000 if k % 5 else 7, "same text" if k % 3 == 0 else f"text {k}", "aa" if k % 2 else "bb") for k in range(60_000)], "doc_id long, text string, lang string")
+    draw = F.xxhash64("doc_id", "text")
+    for most in (10, 500):
+        assert most / 2 <= common.sample(df, most, draw).count() <= most
+        got = common.sample(df, most, draw, "lang")
+        assert got.columns == df.columns and all(most / 2 <= r["count"] <= most for r in got.groupBy("lang").count().collect())
+        assert got.where("doc_id = 7 and text = 'same text'").count() <= 2
+    nulls = df.select(F.lit(None).cast("long").alias("doc_id"), F.lit("x").alias("text"), "lang")
+    assert common.sample(nulls, 100, draw).count() <= 1 and common.sample(df.limit(0), 5, draw, "lang").count() == 0 and common.sample(df.limit(0), 5, draw).count() == 0
+
+
+def test_prior_may_be_high(spark):
+    """More toxic texts than others: the share is used as it is."""
+    rng = np.random.default_rng(23)
+    toxic = [speak(rng, "abcdefgh", 20) + " vile scum" for _ in range(300)]
+    clean = [speak(rng, "abcdefgh", 20) for _ in range(100)]
+    model = toxicity.Toxicity.fit(docs(spark, toxic[:150]), docs(spark, clean + toxic[150:]), 0.6)
+    got = model.predict(docs(spark, [clean[0], toxic[0]]), ["doc_id"]).orderBy("doc_id").collect()
+    assert got[0].score < 0.7 <= got[1].score
+    with pytest.raises(ValueError):
+        toxicity.Toxicity.fit(docs(spark, toxic), docs(spark, clean), 0.0)
