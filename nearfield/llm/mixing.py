@@ -3,23 +3,26 @@ DataFrame functions only.
 
 Documents fall in cells (source, language, topic). A document's probability is
 its cell's: the product of one factor for each value, at most 1. The factors
-are raked with that bound inside the loop: those of one dimension are solved so
-that its expected tokens meet the targets, whole cells counted as whole, and
-the dimensions take turns until all marginals hold within ``TOLERANCE``.
-Documents are drawn by a hash of id and seed, so a draw can be repeated; a
-larger budget keeps what a smaller had as long as no cell is taken whole.
+are raked with that bound inside the loop: in turn, each value of a dimension
+gets the factor that brings its expected tokens to its target, cells taken
+whole counted as whole (a Newton step: exact unless the factor itself takes
+more cells whole), until all marginals hold within ``TOLERANCE``. Documents are
+drawn by a hash of id and seed, so a draw can be repeated; a larger budget
+keeps what a smaller had as long as no cell is taken whole.
 
 A value cannot give more tokens than it has. Where its target asks for more it
 is taken whole and the other values of the dimension share the rest as their
 targets are to each other; the budget is kept. ``Fit.marginals`` reports target,
 attainable and reached share of every value, ``Fit.converged`` whether the
 attainable ones were all reached at once; where the dimensions contradict each
-other they cannot be, and a warning says how far off the mix is.
+other they cannot be, raking ends when it no longer gains, and a warning says
+how far off the mix is.
 
 Targets are shares of tokens in each dimension; unless given, each value's
 share is its token count to the power ``temper``. Cells are aggregated before
-anything moves; the text is never shuffled. The cells, about 30 bytes each and
-their names, are raked on the driver.
+anything moves; the text is never shuffled. Up to ``TASK_CELLS`` cells are
+raked by windows in one task of bounded size, more of them by aggregations and
+joins; both do the same steps. Only three numbers a dimension go to the driver.
 
 Nulls in a dimension are the value ``(none)``, null texts have no tokens; a
 null id draws like an empty one. Repeated rows are drawn alike. Other columns
@@ -29,23 +32,24 @@ stay as they are; an empty table gives an empty result.
 from __future__ import annotations
 
 import logging
+import uuid
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 DIMENSIONS = ("source", "language", "topic")
-#: Cells up to this number are broadcast to the documents, above it joined.
-BROADCAST_CELLS = 100_000
+#: Cells that one task rakes; above it they are raked by shuffles.
+TASK_CELLS = 200_000
 #: Raking ends when no marginal is further than this from its target, as a
-#: share of the budget, or after so many rounds.
-TOLERANCE, MOST_ROUNDS = 1e-7, 1000
+#: share of the budget; when ``SWEEPS`` rounds gain less than a tenth; or after
+#: ``MOST_SWEEPS``.
+TOLERANCE, SWEEPS, MOST_SWEEPS = 1e-5, 5, 60
 #: Factors run away where targets contradict each other; they stop here.
-RANGE = (1e-100, 1e100)
-#: Topics in order: the first whose pattern is found in the text, else prose.
+LEAST, MOST = 1e-100, 1e100
+#: Topics in order: the first of whose patterns one is found in the text, else prose.
 TOPICS = (("table", " \\| "), ("legal", "(?i)license|copyright|warranty"), ("contact", "@"), ("figures", "[0-9]{4}"))
 
 
@@ -54,10 +58,24 @@ def n_words(text: Column) -> Column:
     return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, "[\\x20\\x09-\\x0D]+"))).cast("long")
 
 
+def _found(text: Column, pattern: str) -> Column:
+    """``rlike``; alternatives of plain letters as quicker substring tests."""
+    words, folded = pattern.removeprefix("(?i)"), pattern.startswith("(?i)")
+    plain = words.replace("\\|", "\0").split("|")
+    if all(w.replace("\0", "").replace(" ", "").replace("@", "").isalpha() or not w.strip("\0 @") for w in plain):
+        low = F.lower(text) if folded else text
+        tests = [low.contains(w.replace("\0", "|")) for w in plain]
+        out = tests[0]
+        for t in tests[1:]:
+            out = out | t
+        return out
+    return text.rlike(pattern)
+
+
 def topic_of(text: Column) -> Column:
     out = None
     for name, pattern in TOPICS:
-        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
+        out = F.when(_found(text, pattern), name) if out is None else out.when(_found(text, pattern), name)
     return out.otherwise("prose")
 
 
@@ -67,55 +85,15 @@ def uniform(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def fitted(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5, rounds: int = 10) -> DataFrame:
-    """``cells``: the three dimensions and tokens. Adds weight (share of all
-    tokens): raked ``rounds`` times to the marginals. Values that ``targets``
-    leaves out keep their tempered share of what is left. Without the bound:
-    ``raked`` is what documents are drawn by."""
-    df = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
-    for d in DIMENSIONS:
-        mass = F.sum("tokens").over(Window.partitionBy(d))
-        df = df.withColumn(f"__t_{d}", F.pow(mass.cast("double"), temper))
-        # one value counts once, however many cells it has
-        df = df.withColumn(f"__n_{d}", F.count("*").over(Window.partitionBy(d)))
-        given = (targets or {}).get(d, {})
-        fixed = F.lit(None).cast("double")
-        for value, share in given.items():
-            fixed = F.when(F.col(d) == value, F.lit(float(share))).otherwise(fixed)
-        df = df.withColumn(f"__g_{d}", fixed)
-        everything = Window.partitionBy(F.lit(0))
-        used = F.sum(F.coalesce(F.col(f"__g_{d}"), F.lit(0.0)) / F.col(f"__n_{d}")).over(everything)
-        rest = F.sum(F.when(F.col(f"__g_{d}").isNull(), F.col(f"__t_{d}") / F.col(f"__n_{d}"))).over(everything)
-        df = df.withColumn(f"__t_{d}", F.coalesce(F.col(f"__g_{d}"), F.col(f"__t_{d}") * (1 - used) / rest))
-    for k in range(rounds * len(DIMENSIONS)):
-        d = DIMENSIONS[k % len(DIMENSIONS)]
-        df = df.withColumn("weight", F.col("weight") * F.col(f"__t_{d}") / F.sum("weight").over(Window.partitionBy(d)))
-    return df.select(*DIMENSIONS, "tokens", "weight")
-
-
-def calibrated(cells: DataFrame, keep: float) -> DataFrame:
-    """Adds probability: c * weight / tokens, at most 1, with the c at which
-    expected tokens are ``keep`` of all. Cells in falling order of weight for
-    a token: if the first j are taken whole, c = (budget - their tokens) /
-    (weight of the others); the first j that leaves the next below 1 holds."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("ratio").desc(), *DIMENSIONS)
-    all_ = Window.partitionBy(F.lit(0))
-    df = cells.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("c", (F.lit(keep) * F.sum("tokens").over(all_) - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    first = F.min(F.when(F.col("c") * F.col("ratio") <= 1, F.struct(-F.col("ratio"), F.col("c")))).over(all_)["c"]
-    return df.withColumn("probability", F.least(F.lit(1.0), F.coalesce(first, F.lit(1e300)) * F.col("ratio"))).select(*DIMENSIONS, "probability")
-
-
 @dataclass
 class Fit:
     """``cells``: the dimensions, tokens and probability. ``marginals``: for
     each dimension and value the shares of the drawn tokens that were asked
-    for, that can be had, and that are expected."""
+    for (target), that can be had (attainable), and that are expected."""
 
-    cells: pa.Table
-    marginals: list[tuple[str, str, float, float, float]]
-    rounds: int
+    cells: DataFrame
+    marginals: DataFrame
+    sweeps: int
     off: float
 
     @property
@@ -123,83 +101,124 @@ class Fit:
         return self.off <= TOLERANCE
 
 
-def _solved(ratio: np.ndarray, tokens: np.ndarray, value: np.ndarray, want: np.ndarray) -> np.ndarray:
-    """A factor for each value with which the sum of tokens * min(1, factor *
-    ratio) is what it wants; if that is all it has, its least ratio becomes 1.
-    Cells that come out above 1 are taken whole and the others solved again:
-    the factor only grows, so each pass is final for them."""
-    n, whole = len(want), np.zeros(len(tokens), bool)
-    least = np.full(n, np.inf)
-    np.minimum.at(least, value, ratio)
-    while True:
-        part = np.bincount(value, np.where(whole, 0.0, tokens * ratio), n)
-        left = want - np.bincount(value, np.where(whole, tokens, 0.0), n)
-        f = np.where(part > 0, np.maximum(left, 0.0) / np.where(part > 0, part, 1.0), 1 / least)
-        more = ~whole & (f[value] * ratio > 1)
-        if not more.any():
-            return f
-        whole |= more
-
-
-def _attainable(share: np.ndarray, have: np.ndarray, budget: float) -> np.ndarray:
-    """Tokens for each value: budget * share, at most what it has; the others
-    share the rest in proportion."""
-    full = np.zeros(len(share), bool)
+def _by_dimension(numbers: dict[str, float]) -> Column:
+    return F.create_map(*(F.lit(x) for d, n in numbers.items() for x in (d, float(n))))[F.col("dimension")]
+
+
+def _wanted(cells: DataFrame, budget: float, targets: dict[str, dict[str, float]], temper: float) -> DataFrame:
+    """(dimension, value, have, share, want, full): the tokens that each value
+    has and is to give; ``full`` where that is all it has."""
+    values = None
+    for d in DIMENSIONS:
+        fixed = F.lit(None).cast("double")
+        for value, share in targets.get(d, {}).items():
+            fixed = F.when(F.col(d) == value, F.lit(float(share))).otherwise(fixed)
+        side = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("have")).select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "have", fixed.alias("fixed"))
+        values = side if values is None else values.union(side)
+    free = F.when(F.col("fixed").isNull(), F.pow("have", F.lit(temper)))
+    values = written(values.withColumn("free", free))
+    sums = values.groupBy("dimension").agg(F.sum("free").alias("free"), F.sum("fixed").alias("fixed")).collect()  # three rows
+    rest = {r.dimension: max(0.0, 1 - (r.fixed or 0.0)) / r.free if r.free else 0.0 for r in sums}
+    share = F.coalesce("fixed", F.col("free") * _by_dimension(rest))
+    total = {r.dimension: (r.fixed or 0.0) + (r.free or 0.0) * rest[r.dimension] for r in sums}
+    values = values.select("dimension", "value", "have", (share / _by_dimension(total)).alias("share"))
+    # budget * share, but at most all: those that give all only become more, so this ends
+    scale, was = dict.fromkeys(DIMENSIONS, budget), None
     while True:
-        left, weight = budget - have[full].sum(), share[~full].sum()
-        want = np.where(full, have, share * (left / weight if weight > 0 else 0.0))
-        more = ~full & (want > have)
-        if not more.any():
-            return want
-        full |= more
+        full = F.col("share") * _by_dimension(scale) >= F.col("have")
+        left = values.groupBy("dimension").agg(F.sum(F.when(full, F.col("have"))).alias("have"), F.sum(F.when(~full, F.col("share"))).alias("share"), F.sum(full.cast("int")).alias("n")).collect()
+        now = {r.dimension: r.n for r in left}
+        if now == was:
+            break
+        was = now
+        scale = {r.dimension: (budget - (r.have or 0.0)) / r.share if r.share else 1e300 for r in left}
+    return values.withColumn("full", full).withColumn("want", F.when(full, F.col("have")).otherwise(F.col("share") * _by_dimension(scale)))
+
+
+#: Of the cells of one value: tokens of those taken whole, expected tokens of
+#: the others for their factors, the least factor.
+_SUMS = {"whole": "sum(CASE WHEN ratio >= 1 THEN CAST(tokens AS DOUBLE) ELSE 0D END)", "part": "sum(CASE WHEN ratio < 1 THEN tokens * ratio ELSE 0D END)", "lowest": "min(ratio)"}
+
+
+def _factor(d: str) -> str:
+    new = f"CASE WHEN full_{d} THEN ratio / least(1D, lowest) WHEN want_{d} > whole AND part > 0 THEN ratio * ((want_{d} - whole) / part) ELSE ratio * (want_{d} / (whole + part)) END"
+    return f"least({MOST!r}D, greatest({LEAST!r}D, {new})) AS ratio"
+
+
+def _gap(d: str) -> dict[str, str]:
+    return {f"drawn_{d}": "sum(tokens * least(1D, ratio))"}
+
+
+def _swept(state: DataFrame, keep: list[str], one_task: bool) -> DataFrame:
+    """``SWEEPS`` rounds over the dimensions; adds gap, the most that any
+    marginal of a cell is off. In one task it is one statement of windows."""
+    if one_task:
+        view = f"nearfield_{uuid.uuid4().hex}"
+        state.createOrReplaceTempView(view)
+        step, names = view, ", ".join(keep)
+        over = lambda sums, d: ", ".join(f"{x} OVER (PARTITION BY {d}) AS {k}" for k, x in sums.items())
+        for d in DIMENSIONS * SWEEPS:
+            step = f"(SELECT {names}, {_factor(d)} FROM (SELECT {names}, ratio, {over(_SUMS, d)} FROM {step}))"
+        gaps = [f"abs({over(_gap(d), d).split(' AS ')[0]} - want_{d})" for d in DIMENSIONS]
+        try:
+            return state.sparkSession.sql(f"SELECT {names}, ratio, greatest({', '.join(gaps)}) AS gap FROM {step}")
+        finally:
+            state.sparkSession.catalog.dropTempView(view)
+    summed = lambda df, d, sums: df.join(df.groupBy(d).agg(*(F.expr(x).alias(k) for k, x in sums.items())), d)
+    for d in DIMENSIONS * SWEEPS:
+        state = written(summed(state, d, _SUMS).selectExpr(*keep, _factor(d)))
+    for d in DIMENSIONS:
+        state = written(summed(state, d, _gap(d)))
+    return state.selectExpr(*keep, "ratio", f"greatest({', '.join(f'abs(drawn_{d} - want_{d})' for d in DIMENSIONS)}) AS gap")
 
 
-def raked(cells: pa.Table, keep: float, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5) -> Fit:
+def raked(cells: DataFrame, keep: float, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5, task_cells: int = TASK_CELLS) -> Fit:
     """``cells``: the three dimensions and tokens. Adds probability."""
-    cells = cells.filter(pa.compute.greater(cells["tokens"], 0)).sort_by([(d, "ascending") for d in DIMENSIONS])
-    tokens = cells["tokens"].to_numpy().astype(np.float64)
-    if not len(tokens) or keep <= 0:
-        return Fit(cells.append_column("probability", pa.array(np.zeros(len(tokens)))), [], 0, 0.0)
-    budget = keep * tokens.sum()
-    sides = []
+    cells = written(cells.select(*DIMENSIONS, "tokens").where("tokens > 0"))
+    size = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
+    one_task, budget = size["n"] <= task_cells, keep * float(size["tokens"] or 0)
+    if budget <= 0:
+        none = cells.select(F.lit("").alias("dimension"), F.lit("").alias("value"), *(F.lit(0.0).alias(k) for k in ("target", "attainable", "expected"))).limit(0)
+        return Fit(cells.withColumn("probability", F.lit(0.0)), none, 0, 0.0)
+    gathered = (lambda df: df.coalesce(1)) if one_task else (lambda df: df)  # a bounded table: then no step shuffles
+    values = written(_wanted(cells, budget, targets or {}, temper))
+    state = cells.withColumn("ratio", F.lit(1.0))
+    for d in DIMENSIONS:
+        side = values.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("want").alias(f"want_{d}"), F.col("full").alias(f"full_{d}"))
+        state = state.join(side, d)
+    state = gathered(written(gathered(state)))
+    keep_columns = [c for c in state.columns if c != "ratio"]
+    off, sweeps = float("inf"), 0
+    while True:
+        state = gathered(written(gathered(_swept(state, keep_columns, one_task))))
+        was, off, sweeps = off, state.agg(F.max("gap")).first()[0] / budget, sweeps + SWEEPS
+        if off <= TOLERANCE or off > 0.9 * was or sweeps >= MOST_SWEEPS:
+            break
+    done = state.select(*DIMENSIONS, "tokens", F.least(F.lit(1.0), F.col("ratio")).alias("probability"))
+    reached = None
     for d in DIMENSIONS:
-        codes = cells[d].combine_chunks().dictionary_encode()
-        names, value = codes.dictionary.to_pylist(), codes.indices.to_numpy()
-        have = np.bincount(value, tokens)
-        given = (targets or {}).get(d, {})
-        fixed = np.array([given.get(n, np.nan) for n in names], np.float64)
-        free = np.isnan(fixed)
-        power = have**temper
-        share = np.where(free, power * (max(0.0, 1 - fixed[~free].sum()) / power[free].sum() if free.any() else 0.0), fixed)
-        sides.append((d, names, value, share, _attainable(share / share.sum(), have, budget)))
-    ratio, off, rounds = np.ones(len(tokens)), np.inf, 0
-    while off > TOLERANCE and rounds < MOST_ROUNDS:
-        for _, _, value, _, want in sides:
-            ratio = np.clip(ratio * _solved(ratio, tokens, value, want)[value], *RANGE)
-        expected = tokens * np.minimum(1.0, ratio)
-        off = max(np.abs(np.bincount(value, expected) - want).max() for _, _, value, _, want in sides) / budget
-        rounds += 1
-    if off > TOLERANCE:  # the budget holds in any case
-        ratio = ratio * _solved(ratio, tokens, np.zeros(len(tokens), int), np.array([budget]))[0]
-    probability = np.minimum(1.0, ratio)
-    expected = tokens * probability
-    marginals = [(d, n, float(s), float(w / budget), float(g / expected.sum())) for d, names, value, share, want in sides for n, s, w, g in zip(names, share, want, np.bincount(value, expected))]
-    return Fit(cells.append_column("probability", pa.array(probability)), marginals, rounds, off)
+        side = done.groupBy(d).agg(F.sum(F.col("tokens") * F.col("probability")).alias("reached")).select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "reached")
+        reached = side if reached is None else reached.union(side)
+    shares = [F.col("share").alias("target"), (F.col("want") / budget).alias("attainable"), (F.col("reached") / budget).alias("expected")]
+    return Fit(done, values.join(reached, ["dimension", "value"]).select("dimension", "value", *shares), sweeps, off)
+
+
+def _named(docs: DataFrame, source: Column, language: Column, topic: Column, tokens: Column) -> DataFrame:
+    """(row, source, language, topic, tokens): ``row`` has the columns of ``docs``."""
+    named = [F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(DIMENSIONS, (source, language, topic))]
+    return docs.select(F.struct("*").alias("row"), *named, tokens.alias("tokens"))
 
 
 def with_probability(docs: DataFrame, source: Column, language: Column, topic: Column, tokens: Column, keep: float = 0.5, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5) -> DataFrame:
     """(row, source, language, topic, tokens, probability): ``row`` has the
     columns of ``docs``. Documents without tokens have probability 1."""
-    named = [F.coalesce(c.cast("string"), F.lit("(none)")).alias(n) for n, c in zip(DIMENSIONS, (source, language, topic))]
-    cells = docs.select(*named, tokens.alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    fit = raked(cells.toArrow(), keep, targets, temper)
+    rows = _named(docs, source, language, topic, tokens)
+    fit = raked(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), keep, targets, temper)
     if not fit.converged:
         logging.getLogger(__name__).warning("the targets contradict each other at a budget of %g: marginals are up to %.2g of it off", keep, fit.off)
-    table = docs.sparkSession.createDataFrame(fit.cells.select([*DIMENSIONS, "probability"]), ", ".join([*(f"{d} string" for d in DIMENSIONS), "probability double"]))
-    rows = docs.select(F.struct("*").alias("row"), *named, tokens.alias("tokens"))
-    if fit.cells.num_rows <= BROADCAST_CELLS:
-        table = F.broadcast(table)
-    return rows.join(table, list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(1.0)))
+    # Spark broadcasts the cells if their written size is small
+    put = rows.join(fit.cells.select(*DIMENSIONS, "probability"), list(DIMENSIONS), "left")
+    return put.withColumn("probability", F.coalesce("probability", F.lit(1.0)))
 
 
 def sampled(docs: DataFrame, id_col: str, source: Column, language: Column, topic: Column, tokens: Column, keep: float = 0.5, seed: str = "mix-1", **more) -> DataFrame:

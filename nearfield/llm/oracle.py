@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .mixing import DIMENSIONS, TOPICS
+from .mixing import DIMENSIONS, LEAST, MOST, MOST_SWEEPS, SWEEPS, TOLERANCE, TOPICS
 from .queries import MIX_KEEP, MIX_SEED, URL_RULES
 
 _WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -54,24 +54,37 @@ def _near_duplicates() -> str:
     FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc, min(other) AS m FROM reach GROUP BY 1) r ON r.doc = w.doc_id"""
 
 
-def _mixing(rounds: int = 10, temper: float = 0.5) -> str:
+def _mixing(temper: float = 0.5) -> str:
+    """The marginals' targets, then rounds of factors as a recursion over the
+    cells; a row of it also tells how far off the marginals were at the last
+    two ends of ``SWEEPS`` rounds."""
     topic = " ".join(f"WHEN regexp_matches(coalesce(text, ''), '{p}') THEN '{name}'" for name, p in TOPICS)
-    steps = []
+    wants = []
     for d in DIMENSIONS:
-        steps.append(f"t_{d} AS (SELECT {d}, m / sum(m) OVER () AS share FROM (SELECT {d}, pow(sum(tokens)::DOUBLE, {temper}) AS m FROM cells GROUP BY 1))")
-    last = "start"
-    for k in range(rounds * len(DIMENSIONS)):
-        d = DIMENSIONS[k % len(DIMENSIONS)]
-        steps.append(f"r{k} AS MATERIALIZED (SELECT source, language, topic, tokens, weight * share / sum(weight) OVER (PARTITION BY {d}) AS weight FROM {last} JOIN t_{d} USING ({d}))")
-        last = f"r{k}"
-    return f"""WITH docs AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS language, CASE {topic} ELSE 'prose' END AS topic, len({_WORDS})::BIGINT AS n_tokens FROM documents),
+        wants.append(f"""h_{d} AS (SELECT {d}, sum(tokens)::DOUBLE AS have, pow(sum(tokens)::DOUBLE, {temper}) AS m FROM cells GROUP BY 1),
+        s_{d} AS (SELECT {d}, have, m / sum(m) OVER () AS share FROM h_{d}),
+        j_{d} AS (SELECT *, row_number() OVER (ORDER BY have / share, {d}) AS j FROM s_{d}),
+        c_{d} AS (SELECT *, (b.budget - coalesce(sum(have) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(share) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM j_{d}, budget b),
+        k_{d} AS (SELECT coalesce(arg_min(c, j) FILTER (WHERE c * share < have), 1e300) AS c FROM c_{d}),
+        t_{d} AS (SELECT {d}, least(have, k.c * share) AS want_{d}, k.c * share >= have AS full_{d} FROM s_{d}, k_{d} k)""")
+    keep = "source, language, topic, tokens, want_source, full_source, want_language, full_language, want_topic, full_topic"
+    step = "it"
+    for d in DIMENSIONS:
+        whole, part = (f"sum({x}) OVER (PARTITION BY {d})" for x in ("CASE WHEN ratio >= 1 THEN tokens ELSE 0 END::DOUBLE", "CASE WHEN ratio < 1 THEN tokens * ratio ELSE 0.0::DOUBLE END"))
+        inner = f"SELECT *, {whole} AS whole, {part} AS part, min(ratio) OVER (PARTITION BY {d}) AS lowest FROM {f'({step})' if ' ' in step else step}"
+        if step == "it":
+            inner += f" WHERE k < {MOST_SWEEPS} AND (k % {SWEEPS} <> 0 OR k = 0 OR (off > {TOLERANCE} AND off <= 0.9 * was))"
+        new = f"CASE WHEN full_{d} THEN ratio / least(1.0::DOUBLE, lowest) WHEN want_{d} > whole AND part > 0 THEN ratio * ((want_{d} - whole) / part) ELSE ratio * (want_{d} / (whole + part)) END"
+        step = f"SELECT {keep}, k, off, was, least({MOST}, greatest({LEAST}, {new})) AS ratio FROM ({inner})"
+    gaps = ", ".join(f"abs(sum(tokens * least(1.0::DOUBLE, ratio)) OVER (PARTITION BY {d}) - want_{d})" for d in DIMENSIONS)
+    gone = f"SELECT *, max(gap) OVER () / (SELECT budget FROM budget) AS o FROM (SELECT *, greatest({gaps}) AS gap FROM ({step}))"
+    ends = f"(k + 1) % {SWEEPS} = 0"
+    return f"""WITH RECURSIVE docs AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS language, CASE {topic} ELSE 'prose' END AS topic, len({_WORDS})::BIGINT AS n_tokens FROM documents),
     cells AS MATERIALIZED (SELECT source, language, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0),
-    start AS (SELECT source, language, topic, tokens, tokens::DOUBLE AS weight FROM cells), {", ".join(steps)},
-    o AS (SELECT *, weight / tokens AS ratio, row_number() OVER (ORDER BY weight / tokens DESC, source, language, topic) AS j FROM {last}),
-    c AS (SELECT *, ({MIX_KEEP} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-        / sum(weight) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS c FROM o),
-    k AS (SELECT arg_min(c, j) AS c FROM c WHERE c * ratio <= 1),
-    p AS (SELECT source, language, topic, least(1.0, k.c * ratio) AS p FROM o, k)
+    budget AS MATERIALIZED (SELECT {MIX_KEEP}::DOUBLE * sum(tokens)::DOUBLE AS budget FROM cells), {", ".join(wants)},
+    it AS (SELECT {keep}, 0 AS k, 1e300::DOUBLE AS off, 1e300::DOUBLE AS was, 1.0::DOUBLE AS ratio FROM cells JOIN t_source USING (source) JOIN t_language USING (language) JOIN t_topic USING (topic)
+        UNION ALL SELECT {keep}, k + 1, CASE WHEN {ends} THEN o ELSE off END, CASE WHEN {ends} THEN CASE WHEN k + 1 = {SWEEPS} THEN 1e300::DOUBLE ELSE off END ELSE was END, ratio FROM ({gone})),
+    p AS (SELECT source, language, topic, least(1.0::DOUBLE, ratio) AS p FROM it WHERE k = (SELECT max(k) FROM it))
     SELECT doc_id, source, language, topic, n_tokens, round(coalesce(p, 1.0), 6) AS probability,
         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':{MIX_SEED}'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < coalesce(p, 1.0) AS sampled
     FROM docs LEFT JOIN p USING (source, language, topic)"""

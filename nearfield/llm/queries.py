@@ -78,8 +78,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    rows = mixing.with_probability(docs, F.col("source"), F.col("lang"), mixing.topic_of(F.coalesce("text", F.lit(""))), mixing.n_words(F.col("text")), MIX_KEEP)
+    docs = table(spark, sf_dir, "documents")
+    # texts are read once: what counts of them is narrow
+    text = F.col("text")
+    narrow = written(docs.select("doc_id", "source", "lang", mixing.topic_of(F.coalesce(text, F.lit(""))).alias("topic"), mixing.n_words(text).alias("n")))
+    rows = mixing.with_probability(narrow, *(F.col(c) for c in ("source", "lang", "topic", "n")), MIX_KEEP)
     drawn = mixing.uniform(F.col("row.doc_id"), MIX_SEED) < F.col("probability")
     return rows.select("row.doc_id", "source", "language", "topic", F.col("tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), drawn.alias("sampled"))
 
