@@ -2,31 +2,41 @@
 
 The model lives as sorted hash arrays in a folder all machines mount; workers
 memory-map them, so a machine holds one copy in its page cache however many
-workers it runs. Three passes build it:
+workers it runs. It is built from the top:
 
 1. words: every partition counts its words, merges per bucket of the word
    hash; a bucket's sorted hashes number the words.
-2. pairs (word, next word): the same by bucket of the first word; contexts so
-   frequent that they would fill a bucket are dealt by the pair instead.
-3. continuation counts (in how many contexts a word occurs), per word bucket.
+2. n-grams of the highest order: every partition counts them as numbers of
+   words, merges per bucket. A bucket gives each shorter n-gram one count for
+   every n-gram it ends (in how many contexts it occurs), and these are merged
+   the same way, down to the words.
+
+N-grams are dealt by the last word of their context; where that word is so
+frequent that it would fill a bucket, by the whole context; where all words of
+the context are, by the whole n-gram, and such contexts are added up by their
+own hash afterwards. So no key, however frequent, is one task's alone.
 
 What moves between machines is arrays of distinct keys with their counts,
 never one row an occurrence. The model grows with the corpus; nothing is cut.
-
-A text is its words and one end; the word before the first is a start that is
-never predicted. A word not in training gets the share of the uniform
-distribution that interpolation leaves. Null and empty texts are one end.
-Rows with a null id count as training rows, repeated rows count repeatedly;
-other columns are left alone. An empty training table makes the uniform model.
+Keys are 64-bit hashes of which a bucket keeps 32 bits after those its index of
+places tells: 47 bits or more in all. Counts are bytes, larger ones stand aside
+in 64 bits.
+
+A text is its words and one end; before its first word are as many starts as a
+context has words, which are never predicted. A word not in training gets the
+share of the uniform distribution that interpolation leaves. Null and empty
+texts are one end. Rows with a null id count as training rows, repeated rows
+count repeatedly; other columns are left alone. An empty training table makes
+the uniform model.
 """
 
 from __future__ import annotations
 
-import json
 import os
+import pickle
 import shutil
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +48,15 @@ from .tokens import mix, word_hashes
 
 #: Hashes that stand for the end and the start of a text.
 END, START = np.uint64(0x51F15EEDC0FFEE01), np.uint64(0x57A2757A2757A275)
-#: Tokens that a worker counts before it hands counts on.
-CHUNK_TOKENS = 4_000_000
+#: Tokens that a worker counts before it hands counts on: few enough that
+#: three ranks of their words fit 63 bits.
+CHUNK_TOKENS = 2_000_000
 SLICE_BYTES = 8 << 20
-_U32 = 2**32 - 1
+#: Bytes of input, and tokens, that a bucket is meant for.
+BUCKET_BYTES, BUCKET_TOKENS = 64 << 20, 4_000_000
+MOST_BITS = 14
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_ROWS = "kind string, level int, bucket int, data binary"
 
 
 def _sum_by_key(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,59 +84,61 @@ def _top(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _rows(bucket: np.ndarray, **arrays: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket that occurs (``bucket`` is sorted), with the
-    bytes of its part of each array."""
-    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, int)
-    ends = np.r_[first[1:], len(bucket)] if len(bucket) else first
-    cols = {k: pa.array([a[i:j].tobytes() for i, j in zip(first, ends)], pa.binary()) for k, a in arrays.items()}
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[first], pa.int32()), **cols})
+# ---- arrays on their way: by planes of bytes, which pack well
 
 
-def _glued(table: pa.Table, name: str, kind) -> np.ndarray:
-    parts = [np.frombuffer(x.as_buffer(), kind) for x in table.column(name) if x.is_valid]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
+def _packed(a: np.ndarray) -> tuple:
+    kind = np.min_scalar_type(int(a.max(initial=0)))
+    a = a.astype(kind)
+    data = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), kind.itemsize).T).tobytes()
+    return kind.str, len(a), bytes(pa.compress(data, codec="zstd", asbytes=True)), len(data)
 
 
-def _texts(batches, size: int = SLICE_BYTES):
-    """Word hashes of slices of a partition: rows, their hashes, where each
-    text's hashes begin."""
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(batch.schema.get_field_index("text")))
-        for lo, hi in slices(offsets, size):
-            h, docs = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            yield batch, lo, hi, h, docs
+def _unpacked(x: tuple) -> np.ndarray:
+    kind, n, data, size = x
+    planes = np.frombuffer(pa.decompress(data, size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, n).T).reshape(-1).view(kind).astype(np.uint64)
 
 
-def _with_ends(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of all texts, each closed by an end, and where texts begin."""
-    return np.insert(h, docs[1:], END), docs + np.arange(len(docs))
+def _row(kind: str, level: int, bucket: int, arrays: list[np.ndarray]) -> tuple:
+    return kind, level, bucket, pickle.dumps([_packed(a) for a in arrays])
 
 
-def _before(tokens: np.ndarray, docs: np.ndarray, start) -> np.ndarray:
-    """The token before each; before a text's first, the start."""
-    prev = np.empty_like(tokens)
-    prev[1:] = tokens[:-1]
-    prev[docs[:-1]] = start
-    return prev
+def _dealt(kind: str, level: int, bucket: np.ndarray, arrays: list[np.ndarray]) -> list[tuple]:
+    """One row for each bucket that occurs, with its part of each array."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0]) if len(bucket) else np.zeros(0, int)
+    return [_row(kind, level, int(bucket[order[i]]), [a[order[i:j]] for a in arrays]) for i, j in zip(cut, np.r_[cut[1:], len(bucket)])]
 
 
-@dataclass(frozen=True)
-class Shape:
-    """What workers need besides the arrays."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["kind", "level", "bucket", "data"])
 
-    folder: str
-    word_bits: int
-    pair_bits: int = 0
-    hot_from: int = 2**62
-    bases: tuple[int, ...] = ()
-    tokens: int = 0
-    words: int = 0
-    pair_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    word_discounts: tuple[float, float, float] = (0.0, 0.0, 0.0)
-    pairs: int = 0
-    rest: float = 1.0
-    hot: dict[int, tuple[int, int, int]] = field(default_factory=dict)
+
+def _glued(table: pa.Table) -> list[np.ndarray]:
+    parts = [[_unpacked(x) for x in pickle.loads(d.as_buffer())] for d in table.column("data")]
+    return [np.concatenate(p) for p in zip(*parts)]
+
+
+# ---- tables of a bucket: 32 bits of a key behind an index of places
+
+
+def _save_table(folder: str, keys: np.ndarray, columns: dict[str, np.ndarray]) -> None:
+    """``keys``: different hashes. Numbers above 254 stand aside."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    bits = max(0, _bits(len(keys)) - 4)
+    shift = np.uint64(64 - bits) if bits else None
+    place = (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    _save(folder, "index", np.searchsorted(place, np.arange((1 << bits) + 1)).astype(np.uint32))
+    _save(folder, "low", ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32))
+    for name, x in columns.items():
+        x = x[order].astype(np.uint64)
+        aside = np.flatnonzero(x > 254)
+        _save(folder, name, np.minimum(x, 255).astype(np.uint8))
+        _save(folder, f"{name}_at", aside.astype(np.uint32))
+        _save(folder, f"{name}_aside", x[aside])
 
 
 class _Arrays:
@@ -135,71 +152,161 @@ class _Arrays:
 
     @classmethod
     def of(cls, shape: Shape) -> _Arrays:
-        if shape.folder not in cls.open_ or cls.open_[shape.folder].shape is not shape:
+        if shape.folder not in cls.open_ or cls.open_[shape.folder].shape != shape:
             cls.open_.clear()
             cls.open_[shape.folder] = cls(shape)
         return cls.open_[shape.folder]
 
-    def get(self, kind: str, bucket: int, name: str, dtype) -> np.ndarray:
+    def get(self, kind: str, bucket: int, name: str) -> np.ndarray | None:
         key = (kind, bucket, name)
         if key not in self.maps:
             path = f"{self.shape.folder}/{kind}{bucket:05d}/{name}.npy"
-            self.maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, dtype)
+            self.maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.maps[key]
 
     def words(self, hashes: np.ndarray, cont: bool = False) -> tuple[np.ndarray, ...]:
         """Of sorted hashes: number (-1: unknown), count, continuation count."""
         number = np.full(len(hashes), -1, np.int64)
         count, joined = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
-        bucket = _top(hashes, self.shape.word_bits)
-        cut = np.searchsorted(bucket, np.arange((1 << self.shape.word_bits) + 1))
+        bucket = _top(hashes, self.shape.bits)
+        cut = np.searchsorted(bucket, np.arange((1 << self.shape.bits) + 1))
         for b in np.flatnonzero(np.diff(cut)):
-            known = self.get("words", b, "hash", np.uint64)
-            if not len(known):
+            known = self.get("words", b, "hash")
+            if known is None or not len(known):
                 continue
             part = slice(cut[b], cut[b + 1])
             at = np.minimum(np.searchsorted(known, hashes[part]), len(known) - 1)
             hit = known[at] == hashes[part]
             number[part] = np.where(hit, self.starts[b] + at, -1)
-            count[part] = np.where(hit, self.get("words", b, "count", np.uint64)[at], 0)
-            if cont and len(times := self.get("words", b, "cont", np.uint32)):
+            count[part] = np.where(hit, self.get("words", b, "count")[at], 0)
+            if cont and (times := self.get("words", b, "cont")) is not None:
                 joined[part] = np.where(hit, times[at], 0)
         return number, count, joined
 
-    def _in_buckets(self, keys: np.ndarray, bucket: np.ndarray, of: str, names: tuple[str, ...], dtype) -> list[np.ndarray]:
+    def find(self, kind: str, bucket: np.ndarray, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
+        """The columns of keys in the tables of their buckets; 0 where a key
+        isn't there. Keys are looked up in order, which the pages like."""
         out = [np.zeros(len(keys), np.int64) for _ in names]
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange((1 << self.shape.pair_bits) + 1))
+        order = np.argsort((bucket.astype(np.uint64) << np.uint64(48)) | (keys >> np.uint64(16)))
+        cut = np.searchsorted(bucket[order], np.arange((1 << self.shape.bits) + 1))
         for b in np.flatnonzero(np.diff(cut)):
-            known = self.get("pairs", b, of, dtype)
-            if len(known):
-                rows = order[cut[b] : cut[b + 1]]
-                at = np.minimum(np.searchsorted(known, keys[rows]), len(known) - 1)
-                hit = known[at] == keys[rows]
-                for x, name in zip(out, names):
-                    x[rows] = np.where(hit, self.get("pairs", b, name, np.uint32)[at], 0)
+            index = self.get(kind, b, "index")
+            if index is None or not index[-1]:
+                continue
+            low = self.get(kind, b, "low")
+            rows = order[cut[b] : cut[b + 1]]
+            own, bits = keys[rows], _bits(len(index) - 1)
+            place = (own >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(own), np.int64)
+            want = ((own << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+            lo, hi = index[place].astype(np.int64), index[place + 1].astype(np.int64)
+            end = hi
+            for _ in range(_bits(int((hi - lo).max(initial=0)) + 1)):
+                mid = (lo + hi) >> 1
+                less = (low[np.minimum(mid, len(low) - 1)] < want) & (lo < hi)
+                lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
+            at = np.minimum(lo, len(low) - 1)
+            hit = np.flatnonzero((lo < end) & (low[at] == want))
+            at = at[hit]
+            for x, name in zip(out, names):
+                v = self.get(kind, b, name)[at].astype(np.int64)
+                if len(big := np.flatnonzero(v == 255)):
+                    aside = np.searchsorted(self.get(kind, b, f"{name}_at"), at[big])
+                    v[big] = self.get(kind, b, f"{name}_aside")[aside].astype(np.int64)
+                x[rows[hit]] = v
         return out
 
-    def pairs(self, keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        return self._in_buckets(keys, _pair_bucket(keys, hot, self.shape.pair_bits), "key", ("count",), np.uint64)[0]
-
-    def contexts(self, numbers: np.ndarray) -> list[np.ndarray]:
-        """How many words follow each context once, twice and more often."""
-        keys = numbers.astype(np.uint64) << np.uint64(32)
-        out = self._in_buckets(numbers.astype(np.uint32), _pair_bucket(keys, np.zeros(len(keys), bool), self.shape.pair_bits), "context", ("once", "twice", "more"), np.uint32)
-        if self.shape.hot:
-            for i in np.flatnonzero(np.isin(numbers, np.array(list(self.shape.hot)))):
-                for x, v in zip(out, self.shape.hot[int(numbers[i])]):
-                    x[i] = v
-        return out
+
+@dataclass(frozen=True)
+class Shape:
+    """What workers need besides the arrays. ``discounts``: of each order from
+    1 on, for counts 1, 2 and more; ``grams``: different n-grams of order 2."""
+
+    folder: str
+    bits: int
+    order: int = 3
+    hot_from: int = 2**62
+    bases: tuple[int, ...] = ()
+    tokens: int = 0
+    words: int = 0
+    discounts: tuple[tuple[float, float, float], ...] = ()
+    grams: int = 0
+    rest: float = 1.0
+    hot: np.ndarray | None = None
+
+    def __eq__(self, other) -> bool:
+        return (self.folder, self.discounts, self.hot_from) == (other.folder, other.discounts, other.hot_from)
+
+
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(columns[0]), len(columns), np.uint64)
+    for c in columns:
+        h = mix(h * _STEP + c.astype(np.uint64))
+    return h
+
+
+def _places(columns: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each n-gram, and whether its context is added up apart."""
+    context = columns[:-1]
+    hot = [np.isin(c, shape.hot) for c in context] if shape.hot is not None and len(shape.hot) else [np.zeros(len(c), bool) for c in context]
+    every = np.logical_and.reduce(hot)
+    by = np.where(every, _hash(columns), np.where(hot[-1], _hash(context), _hash(context[-1:])))
+    return _top(mix(by), shape.bits), every
+
+
+def _distinct(ranks: list[np.ndarray], known: np.ndarray, counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different n-grams (in order of the last context word, which packs best)
+    with their counts. ``ranks``: places of their words in ``known``; they are
+    packed into 63 bits, as many at a time as fit."""
+    n, width = len(ranks), _bits(max(2, len(known)))
+    key, used = np.zeros(len(ranks[0]), np.uint64), 0
+    for k in [n - 2, *range(n - 2), n - 1]:
+        if used + width > 63:
+            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+            used = _bits(max(2, len(key)))
+        key <<= np.uint64(width)
+        key |= ranks[k].astype(np.uint64)
+        used += width
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+    times = np.diff(np.r_[first, len(key)]).astype(np.uint64) if counts is None else np.add.reduceat(counts[order].astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
+    at = order[first]
+    return [known[r[at]] for r in ranks], times
+
+
+def _ranked(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    known = np.unique(np.concatenate([np.unique(c) for c in columns]))
+    return [np.searchsorted(known, c) for c in columns], known
+
+
+def _texts(batches, size: int = SLICE_BYTES):
+    """Word hashes of slices of a partition: rows, their hashes, where each
+    text's hashes begin."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(batch.schema.get_field_index("text")))
+        for lo, hi in slices(offsets, size):
+            h, docs = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            yield batch, lo, hi, h, docs
 
 
-def _pair_bucket(keys: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    """By the first word; by both where the first is a hot context."""
-    return _top(mix(np.where(hot, keys, keys >> np.uint64(32)) + np.uint64(1)), bits)
+def _with_ends(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts, each closed by an end, and where texts begin."""
+    return np.insert(h, docs[1:], END), docs + np.arange(len(docs))
+
 
+def _histories(tokens: np.ndarray, docs: np.ndarray, start, order: int) -> list[np.ndarray]:
+    """The tokens and those before them, the farthest first; before a text's
+    first there are starts."""
+    out = [tokens]
+    for _ in range(order - 1):
+        prev = np.empty_like(tokens)
+        prev[1:] = out[0][:-1]
+        prev[docs[:-1]] = start
+        out.insert(0, prev)
+    return out
 
-def _discounts(n: np.ndarray) -> tuple[float, float, float]:
+
+def _discounts(n) -> tuple[float, float, float]:
     """Modified Kneser-Ney's three discounts from the counts of counts 1 to 4;
     counts too few to tell fall back to the plain one of a half."""
     n1, n2, n3, n4 = (float(x) for x in n)
@@ -214,6 +321,71 @@ def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
+def _tally(level: int, counts: np.ndarray) -> tuple:
+    return _row("tally", level, -1, [np.array([int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(counts)])])
+
+
+_CONTEXT = ("total", "once", "twice", "more")
+
+
+def _contexts(columns: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the different contexts, and of each the sum of its counts and
+    how many are one, two and more."""
+    h = _hash(columns[:-1])
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], counts[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
+    add = lambda x: np.add.reduceat(x.astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
+    return h[first], [add(c), add(c == 1), add(c == 2), add(c > 2)]
+
+
+def _merged(table: pa.Table, shape: Shape) -> pa.Table:
+    """What a bucket's rows add up to: saved where it is final, handed on to
+    the next lower order where it counts there."""
+    kind, level, bucket = (table.column(k)[0].as_py() for k in ("kind", "level", "bucket"))
+    parts = _glued(table)
+    out: list[tuple] = []
+    if kind == "tally":
+        size = len(parts[0]) // 5
+        out = [_row("tally", level, -1, [parts[0].reshape(size, 5).sum(axis=0)])]
+    elif kind == "contexts":
+        keys, order = np.unique(parts[0], return_inverse=True)
+        sums = []
+        for x in parts[1:]:
+            total = np.zeros(len(keys), np.uint64)
+            np.add.at(total, order, x)
+            sums.append(total)
+        _save_table(f"{shape.folder}/hot{level}-{bucket:05d}", keys, dict(zip(_CONTEXT, sums)))
+    elif level == 1:
+        base = shape.bases[bucket]
+        ids, times = _sum_by_key(parts[0], parts[1])
+        known = np.load(f"{shape.folder}/words{bucket:05d}/hash.npy", mmap_mode="r")
+        cont = np.zeros(len(known), np.uint64)
+        cont[ids.astype(np.int64) - base] = times
+        _save(f"{shape.folder}/words{bucket:05d}", "cont", cont)
+        out = [_tally(1, times)]
+    else:
+        columns, counts = _distinct(*_ranked(parts[:-1]), parts[-1])
+        _, apart = _places(columns, shape)
+        _save_table(f"{shape.folder}/grams{level}-{bucket:05d}", _hash(columns), {"count": counts})
+        own = np.flatnonzero(~apart)
+        keys, sums = _contexts([c[own] for c in columns], counts[own])
+        _save_table(f"{shape.folder}/contexts{level}-{bucket:05d}", keys, dict(zip(_CONTEXT, sums)))
+        if apart.any():
+            rows = np.flatnonzero(apart)
+            keys, sums = _contexts([c[rows] for c in columns], counts[rows])
+            out += _dealt("contexts", level, _top(keys, shape.bits), [keys, *sums])
+        out.append(_tally(level, counts))
+        if level == 2:
+            ids, times = np.unique(columns[-1], return_counts=True)
+            place = np.searchsorted(np.array(shape.bases), ids.astype(np.int64), side="right") - 1
+            out += _dealt("grams", 1, place, [ids, times])
+        else:
+            shorter, times = _distinct(*_ranked(columns[1:]))
+            out += _dealt("grams", level - 1, _places(shorter, shape)[0], [*shorter, times])
+    return pa.Table.from_batches([_batch(out)])
+
+
 class KneserNey:
     """``fit`` on a text column, ``score`` texts, ``close`` when done."""
 
@@ -223,25 +395,39 @@ class KneserNey:
     # ---- training
 
     @classmethod
-    def fit(cls, docs: DataFrame, text: str = "text", model_dir: str | None = None, buckets: int | None = None) -> KneserNey:
-        """``buckets``: of words and of pairs (rounded up to a power of two);
-        unset, 64 or as many as the session's shuffle partitions."""
+    def fit(cls, docs: DataFrame, text: str = "text", model_dir: str | None = None, buckets: int | None = None, order: int = 3) -> KneserNey:
+        """``order``: words of the longest n-gram, 2 or more. ``buckets``
+        (rounded up to a power of two): unset, by the size of the input."""
+        if order < 2:
+            raise ValueError("the order has to be 2 or more")
         spark = docs.sparkSession
         folder = f"{model_dir}/{uuid.uuid4().hex}" if model_dir else mounted_folder(spark)
         os.makedirs(folder, exist_ok=True)
         docs = docs.select(F.col(text).alias("text"))
-        bits = _bits(buckets or max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-        shape = cls._words(docs, folder, bits)
-        return cls(cls._pairs(docs, shape))
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        bits = min(MOST_BITS, _bits(buckets or max(64, -(-min(size, 1 << 60) // BUCKET_BYTES))))
+        cleaned = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        was = spark.conf.get(cleaned, None)
+        spark.conf.set(cleaned, "true")  # a step's shuffle files go when its tables are written
+        model = None
+        try:
+            model = cls(cls._words(docs, folder, bits, order))
+            model.shape = cls._grams(docs, model.shape)
+            return model
+        except BaseException:
+            shutil.rmtree(folder, ignore_errors=True)
+            raise
+        finally:
+            spark.conf.unset(cleaned) if was is None else spark.conf.set(cleaned, was)
 
     @staticmethod
-    def _words(docs: DataFrame, folder: str, bits: int) -> Shape:
+    def _words(docs: DataFrame, folder: str, bits: int, order: int) -> Shape:
         def count(batches):
             held, size = [], 0
 
             def flush():
                 keys, counts = np.unique(np.concatenate(held), return_counts=True)
-                return _rows(_top(keys, bits), keys=keys, counts=counts.astype(np.uint32))
+                return _batch(_dealt("words", 0, _top(keys, bits), [keys, counts]))
 
             for _, _, _, h, docs_at in _texts(batches):
                 n = len(docs_at) - 1
@@ -255,45 +441,47 @@ class KneserNey:
 
         def merge(table):
             b = table.column("bucket")[0].as_py()
-            keys, counts = _sum_by_key(_glued(table, "keys", np.uint64), _glued(table, "counts", np.uint32))
+            keys, counts = _sum_by_key(*_glued(table))
             at = f"{folder}/words{b:05d}"
             _save(at, "hash", keys)
             _save(at, "count", counts)
-            real = keys != START
-            return pa.table({"bucket": pa.array([b], pa.int32()), "n": [len(keys)], "words": [int(real.sum())], "tokens": [int(counts[real].sum())]})
+            real = counts[keys != START]
+            return pa.table({"bucket": pa.array([b], pa.int32()), "n": [len(keys)], "words": [len(real)], "tokens": [int(real.sum())]})
 
-        parts = docs.mapInArrow(count, "bucket int, keys binary, counts binary")
-        rows = parts.groupBy("bucket").applyInArrow(merge, "bucket int, n long, words long, tokens long").collect()
+        rows = docs.mapInArrow(count, _ROWS).groupBy("bucket").applyInArrow(merge, "bucket int, n long, words long, tokens long").collect()
         sizes = np.zeros(1 << bits, np.int64)
         for r in rows:
             sizes[r.bucket] = r.n
-        if sizes.sum() > _U32:
-            raise ValueError("over 4 billion different words: pair keys need more than 64 bits")
+        tokens = sum(r.tokens for r in rows)
+        hot_from = max(1, tokens >> (bits + 2))
         bases = tuple(int(x) for x in np.r_[0, np.cumsum(sizes)[:-1]])
-        return Shape(folder, bits, bases=bases, tokens=sum(r.tokens for r in rows), words=sum(r.words for r in rows))
+        # at most four words for each bucket are that frequent
+        hot = []
+        for r in rows:
+            counts = np.load(f"{folder}/words{r.bucket:05d}/count.npy", mmap_mode="r")
+            hot += (np.flatnonzero(counts >= hot_from) + bases[r.bucket]).tolist()
+        return Shape(folder, bits, order, hot_from, bases, tokens, sum(r.words for r in rows), hot=np.array(sorted(hot), np.uint64))
 
     @staticmethod
-    def _pairs(docs: DataFrame, shape: Shape) -> Shape:
-        bits = max(shape.word_bits, _bits(-(-shape.tokens // 4_000_000) or 1))
-        known = Shape(**{**shape.__dict__, "pair_bits": bits, "hot_from": max(1, shape.tokens >> (bits + 2))})
-        folder, word_bits, bases = known.folder, known.word_bits, np.array(known.bases)
+    def _grams(docs: DataFrame, shape: Shape) -> Shape:
+        order = shape.order
 
         def count(batches):
-            held, size, arrays, hot = [], 0, _Arrays.of(known), set()
+            held, size, arrays = [], 0, _Arrays.of(shape)
+            start = arrays.words(np.array([START]))[0]
 
             def flush():
-                keys, counts = np.unique(np.concatenate(held), return_counts=True)
-                bucket = _pair_bucket(keys, np.isin(keys >> np.uint64(32), np.array(list(hot), np.uint64)), bits)
-                order = np.argsort(bucket, kind="stable")
-                return _rows(bucket[order], keys=keys[order], counts=counts[order].astype(np.uint32))
-
-            for _, _, _, h, docs_at in _texts(batches):
+                ids = np.concatenate([now for now, _ in held])
+                before = np.cumsum([0, *(len(now) for now, _ in held)])
+                docs_at = np.concatenate([*(at[:-1] + n for (_, at), n in zip(held, before)), before[-1:]])
+                known, ranks = np.unique(np.r_[ids, start], return_inverse=True)
+                columns, counts = _distinct(_histories(ranks[:-1], docs_at, ranks[-1], order), known.astype(np.uint64))
+                return _batch(_dealt("grams", order, _places(columns, shape)[0], [*columns, counts]))
+
+            for _, _, _, h, docs_at in _texts(batches, SLICE_BYTES // 2):
                 tokens, at = _with_ends(h, docs_at)
-                seen, inverse = np.unique(np.r_[tokens, START], return_inverse=True)
-                number, total, _ = arrays.words(seen)
-                hot.update(number[total >= known.hot_from].tolist())
-                now = number[inverse].astype(np.uint64)
-                held.append(_before(now[:-1], at, now[-1]) << np.uint64(32) | now[:-1])
+                seen, inverse = np.unique(tokens, return_inverse=True)
+                held.append((arrays.words(seen)[0][inverse], at))
                 size += len(tokens)
                 if size >= CHUNK_TOKENS:
                     yield flush()
@@ -301,66 +489,16 @@ class KneserNey:
             if size:
                 yield flush()
 
-        def merge(table):
-            b = table.column("bucket")[0].as_py()
-            keys, counts = _sum_by_key(_glued(table, "keys", np.uint64), _glued(table, "counts", np.uint32))
-            at = f"{folder}/pairs{b:05d}"
-            _save(at, "key", keys)
-            _save(at, "count", counts.astype(np.uint32))
-            context = (keys >> np.uint64(32)).astype(np.uint32)
-            first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            kinds = [np.add.reduceat(m.astype(np.uint32), first) for m in (counts == 1, counts == 2, counts > 2)]
-            for name, x in zip(("context", "once", "twice", "more"), (context[first], *kinds)):
-                _save(at, name, x)
-            # parts of hot contexts: those whose first word alone leads to another bucket
-            away = np.flatnonzero(_pair_bucket(keys[first], np.zeros(len(first), bool), bits) != b)
-            own = {int(context[first[i]]): [int(x[i]) for x in kinds] for i in away}
-            number, times = np.unique((keys & np.uint64(_U32)).astype(np.uint32), return_counts=True)
-            bucket = np.searchsorted(bases, number, side="right") - 1
-            rows = _rows(bucket, ids=number, times=times.astype(np.uint32))
-            tally = np.array([int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(keys)], np.int64)
-            extra = pa.RecordBatch.from_pydict({"bucket": pa.array([-1], pa.int32()), "ids": pa.array([tally.tobytes()], pa.binary()), "times": pa.array([json.dumps(own).encode()], pa.binary())})
-            return pa.Table.from_batches([rows, extra])
-
-        parts = docs.mapInArrow(count, "bucket int, keys binary, counts binary")
-        joined = parts.groupBy("bucket").applyInArrow(merge, "bucket int, ids binary, times binary")
-
-        # continuation counts; a word bucket gets the counts of its own words only
-        def finish(table):
-            b = table.column("bucket")[0].as_py()
-            if b < 0:
-                tally = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("ids"))
-                hot: dict[str, list[int]] = {}
-                for x in table.column("times"):
-                    for k, v in json.loads(x.as_py()).items():
-                        hot[k] = [p + q for p, q in zip(hot.get(k, (0, 0, 0)), v)]
-                return pa.table({"bucket": pa.array([-1], pa.int32()), "tally": [tally.tolist()], "hot": [json.dumps(hot)]})
-            ids, times = _sum_by_key(_glued(table, "ids", np.uint32), _glued(table, "times", np.uint32))
-            size = len(np.load(f"{folder}/words{b:05d}/hash.npy", mmap_mode="r"))
-            cont = np.zeros(size, np.uint32)
-            cont[ids.astype(np.int64) - bases[b]] = times
-            _save(f"{folder}/words{b:05d}", "cont", cont)
-            tally = [int((times == k).sum()) for k in (1, 2, 3, 4)] + [int(len(times))]
-            return pa.table({"bucket": pa.array([b], pa.int32()), "tally": [tally], "hot": [""]})
-
-        pair_n, word_n, hot = np.zeros(5, np.int64), np.zeros(5, np.int64), {}
-        for r in joined.groupBy("bucket").applyInArrow(finish, "bucket int, tally array<long>, hot string").collect():
-            if r.bucket < 0:
-                pair_n, hot = np.array(r.tally), json.loads(r.hot)
-            else:
-                word_n += np.array(r.tally)
-        hot = {int(k): tuple(v) for k, v in hot.items()}
-        pairs = int(pair_n[4])
-        d1 = _discounts(word_n[:4])
-        more = int(word_n[4] - word_n[0] - word_n[1])
-        rest = (d1[0] * word_n[0] + d1[1] * word_n[1] + d1[2] * more) / pairs if pairs else 1.0
-        done = Shape(**{**known.__dict__, "pair_discounts": _discounts(pair_n[:4]), "word_discounts": d1, "pairs": pairs, "rest": float(rest)})
-        if hot:  # the bucket that the first word alone leads to has a part as well
-            arrays = _Arrays(done)
-            ids = np.array(sorted(hot), np.int64)
-            own = arrays.contexts(ids)
-            hot = {int(k): tuple(int(x[i]) + hot[int(k)][j] for j, x in enumerate(own)) for i, k in enumerate(ids)}
-        return Shape(**{**done.__dict__, "hot": hot})
+        rows = docs.mapInArrow(count, _ROWS)
+        for _ in range(order):
+            rows = rows.groupBy("kind", "level", "bucket").applyInArrow(lambda t: _merged(t, shape), _ROWS)
+        tallies = rows.where("kind = 'tally'").groupBy("kind", "level", "bucket").applyInArrow(lambda t: _merged(t, shape), _ROWS)
+        counts = {r.level: _unpacked(pickle.loads(r.data)[0]) for r in tallies.collect()}
+        none = np.zeros(5, np.uint64)
+        discounts = tuple(_discounts(counts.get(k, none)[:4]) for k in range(1, order + 1))
+        grams, words = int(counts.get(2, none)[4]), counts.get(1, none).astype(np.int64)
+        rest = sum(d * n for d, n in zip(discounts[0], (words[0], words[1], words[4] - words[0] - words[1]))) / grams if grams else 1.0
+        return replace(shape, discounts=discounts, grams=grams, rest=float(rest))
 
     # ---- scoring
 
@@ -380,29 +518,49 @@ class KneserNey:
         shutil.rmtree(self.shape.folder, ignore_errors=True)
 
 
+def _raised(p: np.ndarray, columns: list[np.ndarray], known: np.ndarray, arrays: _Arrays) -> None:
+    """``p``, the probabilities of the next lower order, interpolated with the
+    counts of these n-grams. ``known``: whether a column's words all are."""
+    shape, level = arrays.shape, len(columns)
+    d = shape.discounts[level - 1]
+    rows = np.flatnonzero(np.logical_and.reduce(known[:-1]))  # a context with an unknown word was never seen
+    if not len(rows):
+        return
+    columns = [c[rows] for c in columns]
+    bucket, apart = _places(columns, shape)
+    context = _hash(columns[:-1])
+    found = np.array([np.zeros(len(rows), np.int64)] * 4)
+    for kind, part, at in ((f"contexts{level}-", np.flatnonzero(~apart), bucket), (f"hot{level}-", np.flatnonzero(apart), _top(context, shape.bits))):
+        if len(part):
+            found[:, part] = arrays.find(kind, at[part], context[part], _CONTEXT)
+    total, once, twice, more = found
+    seen = np.flatnonzero(total > 0)
+    rows = rows[seen]
+    times = np.zeros(len(seen), np.int64)
+    last = np.flatnonzero(known[-1][rows])
+    times[last] = arrays.find(f"grams{level}-", bucket[seen[last]], _hash([c[seen[last]] for c in columns]), ("count",))[0]
+    total, kinds = total[seen], (once[seen], twice[seen], more[seen])
+    p[rows] = (times - _discount(times, d) + sum(x * n for x, n in zip(d, kinds)) * p[rows]) / total
+
+
 def _scores(batches, shape: Shape, held: list[str]):
     arrays = _Arrays.of(shape)
     N, V = shape.tokens, shape.words
     uniform = 1.0 / (V + 1)
-    for batch, lo, hi, h, docs in _texts(batches):
+    for batch, lo, hi, h, docs in _texts(batches, SLICE_BYTES // 2):
         tokens, at = _with_ends(h, docs)
         seen, inverse = np.unique(np.r_[tokens, START], return_inverse=True)
         number, count, cont = arrays.words(seen, cont=True)
-        word = (cont - _discount(cont, shape.word_discounts)) / shape.pairs + shape.rest * uniform if shape.pairs else np.full(len(seen), uniform)
-        once, twice, more = arrays.contexts(np.maximum(number, 0))
-        d = shape.pair_discounts
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(count > 0, (d[0] * once + d[1] * twice + d[2] * more) / count, 1.0)
+        word = (cont - _discount(cont, shape.discounts[0])) / shape.grams + shape.rest * uniform if shape.grams else np.full(len(seen), uniform)
         base = np.log10((count + 0.5) / (N + 0.5 * (V + 1)))
         now = inverse[:-1]
-        prev = _before(now, at, inverse[-1])
-        p = back[prev] * word[now]
-        both = np.flatnonzero((count[prev] > 0) & (count[now] > 0))
-        keys, place = np.unique(number[prev[both]].astype(np.uint64) << np.uint64(32) | number[now[both]].astype(np.uint64), return_inverse=True)
-        first = np.zeros(len(keys), np.int64)
-        first[place] = prev[both]
-        times = arrays.pairs(keys, count[first] >= shape.hot_from)
-        p[both] += ((times - _discount(times, d)) / np.maximum(count[first], 1))[place]
+        history = _histories(now, at, inverse[-1], shape.order)
+        p = word[now]
+        if shape.grams:
+            ids, in_training = number.astype(np.uint64), number >= 0
+            for level in range(2, shape.order + 1):
+                part = history[-level:]
+                _raised(p, [ids[c] for c in part], np.array([in_training[c] for c in part]), arrays)
         known = np.r_[0, np.cumsum(count[now] > 0)]
         logs, bases = np.log10(p), base[now]
         ends = at[1:]

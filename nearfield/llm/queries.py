@@ -52,8 +52,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold(F.col("doc_id"), 5) == 1).alias("held_out"))
     model = KneserNey.fit(docs.where("not held_out"))
-    scored = written(model.score(docs, ["doc_id", "held_out"]))
-    model.close()
+    try:
+        scored = written(model.score(docs, ["doc_id", "held_out"]))
+    finally:
+        model.close()
     return scored.withColumn("train_tokens", F.lit(model.shape.tokens).cast("long"))
 
 

@@ -225,19 +225,15 @@ def test_nn_pu_risk_stays_above_zero():
 # ---- language model
 
 
-def brute(train, texts):
+def brute(train, texts, order):
+    """The formulas, n-gram by n-gram."""
     tok = lambda t: [*words(t), b"</s>"]
-    count, pairs = collections.Counter(), collections.Counter()
-    for t in train:
-        w = tok(t)
-        count.update(w)
-        pairs.update(zip([b"<s>", *w[:-1]], w))
+    count = collections.Counter(w for t in train for w in tok(t))
     n, v = sum(count.values()), len(count)
-    context, kinds, joined = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0]), collections.Counter()
-    for (u, w), c in pairs.items():
-        context[u] += c
-        kinds[u][min(c, 3) - 1] += 1
-        joined[w] += 1
+    padded = lambda t, k: [b"<s>"] * (k - 1) + tok(t)
+    grams = {order: collections.Counter(tuple(padded(t, order)[i : i + order]) for t in train for i in range(len(tok(t))))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = collections.Counter(g[1:] for g in grams[k + 1])
 
     def discounts(values):
         k = collections.Counter(values)
@@ -246,42 +242,62 @@ def brute(train, texts):
         y = k[1] / (k[1] + 2 * k[2])
         return [min(max(d, 0), i + 1) for i, d in enumerate((1 - 2 * y * k[2] / k[1], 2 - 3 * y * k[3] / k[2], 3 - 4 * y * k[4] / k[3]))]
 
-    d2, d1, total = discounts(pairs.values()), discounts(joined.values()), len(pairs)
-    of = lambda d, c: d[min(c, 3) - 1] if c else 0
-    rest = sum(of(d1, c) for c in joined.values()) / total if total else 1
-
-    def p(u, w):
-        low = ((joined[w] - of(d1, joined[w])) / total if total else 0) + rest / (v + 1)
-        if not context[u]:
+    d = {k: discounts(g.values()) for k, g in grams.items()}
+    total, kinds = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
+    for k, g in grams.items():
+        for x, c in g.items():
+            total[k, x[:-1]] += c
+            kinds[k, x[:-1]][min(c, 3) - 1] += 1
+    of = lambda k, c: d[k][min(c, 3) - 1] if c else 0
+
+    def p(x):
+        k = len(x)
+        low = p(x[1:]) if k > 1 else 1 / (v + 1)
+        if not total[k, x[:-1]]:
             return low
-        c = pairs[u, w]
-        return (c - of(d2, c)) / context[u] + sum(a * b for a, b in zip(d2, kinds[u])) / context[u] * low
+        return (grams[k][x] - of(k, grams[k][x]) + sum(a * b for a, b in zip(d[k], kinds[k, x[:-1]])) * low) / total[k, x[:-1]]
 
     out = []
     for t in texts:
-        w = tok(t)
-        out.append((len(w), sum(x in count for x in w), sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(u, x)) for u, x in zip([b"<s>", *w[:-1]], w))))
-    return out, n, sum(p(b"the", w) for w in count) + p(b"the", b"unseen")
+        w, full = tok(t), padded(t, order)
+        out.append((len(w), sum(x in count for x in w), sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), sum(math.log10(p(tuple(full[i : i + order]))) for i in range(len(w)))))
+    context = (b"of",) * (order - 2) + (b"the",)
+    return out, n, sum(p((*context, w)) for w in count) + p((*context, b"unseen"))
 
 
-@pytest.mark.parametrize("buckets", [1, 16])
-def test_kneser_ney(spark, tmp_path, buckets):
+@pytest.mark.parametrize("buckets,order", [(1, 2), (16, 2), (1, 3), (16, 3), (4, 4)])
+def test_kneser_ney(spark, tmp_path, buckets, order):
     rng = np.random.default_rng(1)
     vocabulary = ["the", "The", "of", "and", *(f"w{k}" for k in range(60))]
     share = 1 / np.arange(1, len(vocabulary) + 1)
     texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 40), p=share / share.sum())) for _ in range(120)] + ODD
     train = [t for k, t in enumerate(texts) if zlib.crc32(str(k).encode()) % 5 != 1]
-    want, n, total = brute(train, texts)
+    want, n, total = brute(train, texts, order)
     assert abs(total - 1) < 1e-9
     df = docs(spark, texts, score=["x"] * len(texts))
-    model = KneserNey.fit(df.where(common.fold(F.col("doc_id"), 5) != 1), model_dir=str(tmp_path), buckets=buckets)
+    model = KneserNey.fit(df.where(common.fold(F.col("doc_id"), 5) != 1), model_dir=str(tmp_path), buckets=buckets, order=order)
     got = model.score(df, ["doc_id"]).orderBy("doc_id").collect()
     model.close()
-    assert model.shape.tokens == n and (model.shape.hot or buckets == 1)
+    assert model.shape.tokens == n and (len(model.shape.hot) or buckets == 1) and not any(tmp_path.iterdir())
     for r, w in zip(got, want):
         assert (r.n_tokens, r.n_known) == w[:2] and r.base_score == pytest.approx(w[2], rel=1e-9) and r.score == pytest.approx(w[3], rel=1e-9)
 
 
+def test_tables_of_the_model(tmp_path):
+    """Counts beyond a byte, keys that are not there, one key, none."""
+    from nearfield.llm import kneser_ney as kn
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 17, 5000):
+        keys = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64, endpoint=False))
+        counts = rng.choice(np.array([1, 2, 254, 255, 256, 2**33], np.uint64), len(keys))
+        kn._save_table(f"{tmp_path}/{n}-00000", keys, {"count": counts})
+        arrays = kn._Arrays(kn.Shape(str(tmp_path), 0))
+        asked = np.r_[keys, keys + np.uint64(1 << 40), rng.integers(0, 2**64, 50, dtype=np.uint64, endpoint=False)]
+        got = arrays.find(f"{n}-", np.zeros(len(asked), np.int64), asked, ("count",))[0]
+        assert got.tolist() == [*counts.tolist(), *[0] * (len(asked) - len(keys))]
+
+
 def test_kneser_ney_without_training(spark, tmp_path):
     df = docs(spark, ["a b", None])
     model = KneserNey.fit(df.limit(0), model_dir=str(tmp_path))
