@@ -8,13 +8,15 @@ workers it runs. It is built from the top:
    hash; a bucket's sorted hashes number the words.
 2. n-grams of the highest order: every partition counts them as numbers of
    words, merges per bucket. A bucket gives each shorter n-gram one count for
-   every n-gram it ends (in how many contexts it occurs), and these are merged
-   the same way, down to the words.
+   every n-gram it ends (in how many contexts it occurs), and what follows it
+   as a context; these are merged the same way, down to the words.
 
 N-grams are dealt by the last word of their context; where that word is so
 frequent that it would fill a bucket, by the whole context; where all words of
-the context are, by the whole n-gram, and such contexts are added up by their
-own hash afterwards. So no key, however frequent, is one task's alone.
+the context are, by the whole n-gram. What a context adds up to is added up
+where the context lies as an n-gram of its own, so no key, however frequent, is
+one task's alone; and a text's n-gram is the context of its next word, so one
+search answers for both.
 
 What moves between machines is arrays of distinct keys with their counts,
 never one row an occurrence. The model grows with the corpus; nothing is cut.
@@ -128,7 +130,7 @@ def _save_table(folder: str, keys: np.ndarray, columns: dict[str, np.ndarray]) -
     """``keys``: different hashes. Numbers above 254 stand aside."""
     order = np.argsort(keys)
     keys = keys[order]
-    bits = max(0, _bits(len(keys)) - 4)
+    bits = max(0, _bits(len(keys)) - 3)
     shift = np.uint64(64 - bits) if bits else None
     place = (keys >> shift).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
     _save(folder, "index", np.searchsorted(place, np.arange((1 << bits) + 1)).astype(np.uint32))
@@ -164,10 +166,10 @@ class _Arrays:
             self.maps[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.maps[key]
 
-    def words(self, hashes: np.ndarray, cont: bool = False) -> tuple[np.ndarray, ...]:
-        """Of sorted hashes: number (-1: unknown), count, continuation count."""
+    def words(self, hashes: np.ndarray, names: tuple[str, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of sorted hashes: number (-1: unknown), and the columns ``names``."""
         number = np.full(len(hashes), -1, np.int64)
-        count, joined = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        out = [np.zeros(len(hashes), np.int64) for _ in names]
         bucket = _top(hashes, self.shape.bits)
         cut = np.searchsorted(bucket, np.arange((1 << self.shape.bits) + 1))
         for b in np.flatnonzero(np.diff(cut)):
@@ -178,10 +180,10 @@ class _Arrays:
             at = np.minimum(np.searchsorted(known, hashes[part]), len(known) - 1)
             hit = known[at] == hashes[part]
             number[part] = np.where(hit, self.starts[b] + at, -1)
-            count[part] = np.where(hit, self.get("words", b, "count")[at], 0)
-            if cont and (times := self.get("words", b, "cont")) is not None:
-                joined[part] = np.where(hit, times[at], 0)
-        return number, count, joined
+            for x, name in zip(out, names):
+                if (v := self.get("words", b, name)) is not None:
+                    x[part] = np.where(hit, v[at], 0)
+        return number, out
 
     def find(self, kind: str, bucket: np.ndarray, keys: np.ndarray, names: tuple[str, ...]) -> list[np.ndarray]:
         """The columns of keys in the tables of their buckets; 0 where a key
@@ -244,39 +246,74 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _places(columns: list[np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each n-gram, and whether its context is added up apart."""
+def _places(columns: list[np.ndarray], shape: Shape) -> np.ndarray:
+    """The bucket of each n-gram of two words or more; of a word, its own."""
+    if len(columns) == 1:
+        return np.searchsorted(np.array(shape.bases), columns[0].astype(np.int64), side="right") - 1
     context = columns[:-1]
-    hot = [np.isin(c, shape.hot) for c in context] if shape.hot is not None and len(shape.hot) else [np.zeros(len(c), bool) for c in context]
-    every = np.logical_and.reduce(hot)
-    by = np.where(every, _hash(columns), np.where(hot[-1], _hash(context), _hash(context[-1:])))
-    return _top(mix(by), shape.bits), every
-
-
-def _distinct(ranks: list[np.ndarray], known: np.ndarray, counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
-    """Different n-grams (in order of the last context word, which packs best)
-    with their counts. ``ranks``: places of their words in ``known``; they are
-    packed into 63 bits, as many at a time as fit."""
-    n, width = len(ranks), _bits(max(2, len(known)))
-    key, used = np.zeros(len(ranks[0]), np.uint64), 0
-    for k in [n - 2, *range(n - 2), n - 1]:
-        if used + width > 63:
-            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-            used = _bits(max(2, len(key)))
+    by = _hash(context[-1:])
+    if shape.hot is not None and len(shape.hot):
+        hot = [np.isin(c, shape.hot) for c in context]
+        rows = np.flatnonzero(hot[-1])
+        by[rows] = _hash([c[rows] for c in context])
+        rows = np.flatnonzero(np.logical_and.reduce(hot))
+        by[rows] = _hash([c[rows] for c in columns])
+    return _top(mix(by), shape.bits)
+
+
+def _keyed(ranks: list[np.ndarray], width: int) -> np.ndarray | None:
+    """One number for each n-gram, in order of the last context word, which
+    packs best; None if 63 bits are too few."""
+    n = len(ranks)
+    if n * width > 63:
+        return None
+    key = np.zeros(len(ranks[0]), np.uint64)
+    for k in _order(n):
         key <<= np.uint64(width)
         key |= ranks[k].astype(np.uint64)
-        used += width
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    times = np.diff(np.r_[first, len(key)]).astype(np.uint64) if counts is None else np.add.reduceat(counts[order].astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
-    at = order[first]
-    return [known[r[at]] for r in ranks], times
+    return key
+
+
+def _order(n: int) -> list[int]:
+    return [n - 2, *range(n - 2), n - 1] if n > 1 else [0]
+
+
+def _starts(columns: list[np.ndarray]) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
 
 
-def _ranked(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+def _counted(ranks: list[np.ndarray], known: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Different n-grams and how often each occurs."""
+    width = _bits(max(2, len(known)))
+    key = _keyed(ranks, width)
+    if key is None:
+        return _summed([known[r] for r in ranks], [np.ones(len(ranks[0]), np.uint64)])
+    key.sort()
+    first = _starts([key])
+    times = np.diff(np.r_[first, len(key)])
+    key, mask, out = key[first], np.uint64((1 << width) - 1), [None] * len(ranks)
+    for k in reversed(_order(len(ranks))):
+        out[k] = known[(key & mask).astype(np.int64)]
+        key >>= np.uint64(width)
+    return out, times.astype(np.uint64)
+
+
+def _summed(columns: list[np.ndarray], values: list[np.ndarray]) -> tuple:
+    """Different n-grams in the same order, and the sums of their values."""
+    n = len(columns)
     known = np.unique(np.concatenate([np.unique(c) for c in columns]))
-    return [np.searchsorted(known, c) for c in columns], known
+    ranks = [np.searchsorted(known, c) for c in columns]
+    key = _keyed(ranks, _bits(max(2, len(known))))
+    order = np.lexsort([ranks[k] for k in reversed(_order(n))]) if key is None else np.argsort(key)
+    columns = [c[order] for c in columns]
+    first = _starts(columns)
+    sums = [np.add.reduceat(v[order].astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64) for v in values]
+    return [c[first] for c in columns], *sums
 
 
 def _texts(batches, size: int = SLICE_BYTES):
@@ -325,64 +362,50 @@ def _tally(level: int, counts: np.ndarray) -> tuple:
     return _row("tally", level, -1, [np.array([int((counts == k).sum()) for k in (1, 2, 3, 4)] + [len(counts)])])
 
 
+#: What follows an n-gram as a context: the sum of counts, and how many
+#: different words do once, twice and more often.
 _CONTEXT = ("total", "once", "twice", "more")
 
 
-def _contexts(columns: list[np.ndarray], counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Hashes of the different contexts, and of each the sum of its counts and
-    how many are one, two and more."""
-    h = _hash(columns[:-1])
-    order = np.argsort(h, kind="stable")
-    h, c = h[order], counts[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, int)
-    add = lambda x: np.add.reduceat(x.astype(np.uint64), first) if len(first) else np.zeros(0, np.uint64)
-    return h[first], [add(c), add(c == 1), add(c == 2), add(c > 2)]
-
-
 def _merged(table: pa.Table, shape: Shape) -> pa.Table:
-    """What a bucket's rows add up to: saved where it is final, handed on to
-    the next lower order where it counts there."""
-    kind, level, bucket = (table.column(k)[0].as_py() for k in ("kind", "level", "bucket"))
-    parts = _glued(table)
-    out: list[tuple] = []
-    if kind == "tally":
-        size = len(parts[0]) // 5
-        out = [_row("tally", level, -1, [parts[0].reshape(size, 5).sum(axis=0)])]
-    elif kind == "contexts":
-        keys, order = np.unique(parts[0], return_inverse=True)
-        sums = []
-        for x in parts[1:]:
-            total = np.zeros(len(keys), np.uint64)
-            np.add.at(total, order, x)
-            sums.append(total)
-        _save_table(f"{shape.folder}/hot{level}-{bucket:05d}", keys, dict(zip(_CONTEXT, sums)))
-    elif level == 1:
-        base = shape.bases[bucket]
-        ids, times = _sum_by_key(parts[0], parts[1])
-        known = np.load(f"{shape.folder}/words{bucket:05d}/hash.npy", mmap_mode="r")
-        cont = np.zeros(len(known), np.uint64)
-        cont[ids.astype(np.int64) - base] = times
-        _save(f"{shape.folder}/words{bucket:05d}", "cont", cont)
-        out = [_tally(1, times)]
+    """What a bucket's rows add up to: saved, and handed on to the next lower
+    order. ``grams`` rows hold n-grams and counts, ``contexts`` rows n-grams
+    and what follows them."""
+    level, bucket = table.column("level")[0].as_py(), table.column("bucket")[0].as_py()
+    kinds = table.column("kind").to_pylist()
+    if bucket < 0:
+        tallies = _glued(table)[0]
+        return pa.Table.from_batches([_batch([_row("tally", level, -1, [tallies.reshape(-1, 5).sum(axis=0)])])])
+    parts = {k: _glued(table.filter(pa.array([x == k for x in kinds]))) for k in set(kinds)}
+    grams, follow = parts.get("grams"), parts.get("contexts")
+    zeros = lambda p, n: [np.zeros(len(p[0]), np.uint64)] * n
+    if follow is None:
+        columns, counts = _summed(grams[:level], grams[level:])
+        after = []
+    else:
+        rows = [] if grams is None else [[*grams, *zeros(grams, 4)]]
+        rows.append([*follow[:level], *zeros(follow, 1), *follow[level:]])
+        both = [np.concatenate(x) for x in zip(*rows)]
+        columns, counts, *after = _summed(both[:level], both[level:])
+    out = [_tally(level, counts[counts > 0])]
+    if level == 1:
+        at = f"{shape.folder}/words{bucket:05d}"
+        size = len(np.load(f"{at}/hash.npy", mmap_mode="r"))
+        for name, x in zip(("cont", *_CONTEXT), (counts, *after)):
+            whole = np.zeros(size, np.uint64)
+            whole[columns[0].astype(np.int64) - shape.bases[bucket]] = x
+            _save(at, name, whole.astype(np.min_scalar_type(int(whole.max(initial=0)))))
     else:
-        columns, counts = _distinct(*_ranked(parts[:-1]), parts[-1])
-        _, apart = _places(columns, shape)
-        _save_table(f"{shape.folder}/grams{level}-{bucket:05d}", _hash(columns), {"count": counts})
-        own = np.flatnonzero(~apart)
-        keys, sums = _contexts([c[own] for c in columns], counts[own])
-        _save_table(f"{shape.folder}/contexts{level}-{bucket:05d}", keys, dict(zip(_CONTEXT, sums)))
-        if apart.any():
-            rows = np.flatnonzero(apart)
-            keys, sums = _contexts([c[rows] for c in columns], counts[rows])
-            out += _dealt("contexts", level, _top(keys, shape.bits), [keys, *sums])
-        out.append(_tally(level, counts))
-        if level == 2:
-            ids, times = np.unique(columns[-1], return_counts=True)
-            place = np.searchsorted(np.array(shape.bases), ids.astype(np.int64), side="right") - 1
-            out += _dealt("grams", 1, place, [ids, times])
-        else:
-            shorter, times = _distinct(*_ranked(columns[1:]))
-            out += _dealt("grams", level - 1, _places(shorter, shape)[0], [*shorter, times])
+        _save_table(f"{shape.folder}/grams{level}-{bucket:05d}", _hash(columns), dict(zip(("count", *_CONTEXT), (counts, *after))))
+        real = np.flatnonzero(counts)
+        columns, counts = [c[real] for c in columns], counts[real]
+        shorter, times = _summed(columns[1:], [np.ones(len(counts), np.uint64)])
+        out += _dealt("grams", level - 1, _places(shorter, shape), [*shorter, times])
+        context = columns[:-1]  # n-grams lie in its order
+        first = _starts(context)
+        sums = [np.add.reduceat(x.astype(np.uint64), first) if len(first) else x for x in (counts, counts == 1, counts == 2, counts > 2)]
+        context = [c[first] for c in context]
+        out += _dealt("contexts", level - 1, _places(context, shape), [*context, *sums])
     return pa.Table.from_batches([_batch(out)])
 
 
@@ -468,15 +491,15 @@ class KneserNey:
 
         def count(batches):
             held, size, arrays = [], 0, _Arrays.of(shape)
-            start = arrays.words(np.array([START]))[0]
+            start = arrays.words(np.array([START]))[0]  # its number
 
             def flush():
                 ids = np.concatenate([now for now, _ in held])
                 before = np.cumsum([0, *(len(now) for now, _ in held)])
                 docs_at = np.concatenate([*(at[:-1] + n for (_, at), n in zip(held, before)), before[-1:]])
                 known, ranks = np.unique(np.r_[ids, start], return_inverse=True)
-                columns, counts = _distinct(_histories(ranks[:-1], docs_at, ranks[-1], order), known.astype(np.uint64))
-                return _batch(_dealt("grams", order, _places(columns, shape)[0], [*columns, counts]))
+                columns, counts = _counted(_histories(ranks[:-1], docs_at, ranks[-1], order), known.astype(np.uint64))
+                return _batch(_dealt("grams", order, _places(columns, shape), [*columns, counts]))
 
             for _, _, _, h, docs_at in _texts(batches, SLICE_BYTES // 2):
                 tokens, at = _with_ends(h, docs_at)
@@ -491,8 +514,8 @@ class KneserNey:
 
         rows = docs.mapInArrow(count, _ROWS)
         for _ in range(order):
-            rows = rows.groupBy("kind", "level", "bucket").applyInArrow(lambda t: _merged(t, shape), _ROWS)
-        tallies = rows.where("kind = 'tally'").groupBy("kind", "level", "bucket").applyInArrow(lambda t: _merged(t, shape), _ROWS)
+            rows = rows.groupBy("level", "bucket").applyInArrow(lambda t: _merged(t, shape), _ROWS)
+        tallies = rows.where("bucket < 0").groupBy("level", "bucket").applyInArrow(lambda t: _merged(t, shape), _ROWS)
         counts = {r.level: _unpacked(pickle.loads(r.data)[0]) for r in tallies.collect()}
         none = np.zeros(5, np.uint64)
         discounts = tuple(_discounts(counts.get(k, none)[:4]) for k in range(1, order + 1))
@@ -518,28 +541,12 @@ class KneserNey:
         shutil.rmtree(self.shape.folder, ignore_errors=True)
 
 
-def _raised(p: np.ndarray, columns: list[np.ndarray], known: np.ndarray, arrays: _Arrays) -> None:
+def _raised(p: np.ndarray, times: np.ndarray, follow: list[np.ndarray], d: tuple[float, float, float]) -> None:
     """``p``, the probabilities of the next lower order, interpolated with the
-    counts of these n-grams. ``known``: whether a column's words all are."""
-    shape, level = arrays.shape, len(columns)
-    d = shape.discounts[level - 1]
-    rows = np.flatnonzero(np.logical_and.reduce(known[:-1]))  # a context with an unknown word was never seen
-    if not len(rows):
-        return
-    columns = [c[rows] for c in columns]
-    bucket, apart = _places(columns, shape)
-    context = _hash(columns[:-1])
-    found = np.array([np.zeros(len(rows), np.int64)] * 4)
-    for kind, part, at in ((f"contexts{level}-", np.flatnonzero(~apart), bucket), (f"hot{level}-", np.flatnonzero(apart), _top(context, shape.bits))):
-        if len(part):
-            found[:, part] = arrays.find(kind, at[part], context[part], _CONTEXT)
-    total, once, twice, more = found
-    seen = np.flatnonzero(total > 0)
-    rows = rows[seen]
-    times = np.zeros(len(seen), np.int64)
-    last = np.flatnonzero(known[-1][rows])
-    times[last] = arrays.find(f"grams{level}-", bucket[seen[last]], _hash([c[seen[last]] for c in columns]), ("count",))[0]
-    total, kinds = total[seen], (once[seen], twice[seen], more[seen])
+    counts of n-grams, where something follows their contexts."""
+    rows = np.flatnonzero(follow[0])
+    total, *kinds = (x[rows] for x in follow)
+    times = times[rows]
     p[rows] = (times - _discount(times, d) + sum(x * n for x, n in zip(d, kinds)) * p[rows]) / total
 
 
@@ -547,23 +554,38 @@ def _scores(batches, shape: Shape, held: list[str]):
     arrays = _Arrays.of(shape)
     N, V = shape.tokens, shape.words
     uniform = 1.0 / (V + 1)
-    for batch, lo, hi, h, docs in _texts(batches, SLICE_BYTES // 2):
+    # what follows the starts before a text, for each length of context
+    start = arrays.words(np.array([START]))[0].astype(np.uint64)
+    begin = {k: arrays.find(f"grams{k}-", _places([start] * k, shape), _hash([start] * k), _CONTEXT) for k in range(2, shape.order)} if shape.grams else {}
+    for batch, lo, hi, h, docs in _texts(batches):
         tokens, at = _with_ends(h, docs)
         seen, inverse = np.unique(np.r_[tokens, START], return_inverse=True)
-        number, count, cont = arrays.words(seen, cont=True)
+        number, (count, cont, *follow) = arrays.words(seen, ("count", "cont", *_CONTEXT))
         word = (cont - _discount(cont, shape.discounts[0])) / shape.grams + shape.rest * uniform if shape.grams else np.full(len(seen), uniform)
         base = np.log10((count + 0.5) / (N + 0.5 * (V + 1)))
-        now = inverse[:-1]
-        history = _histories(now, at, inverse[-1], shape.order)
+        now, ends = inverse[:-1], at[1:]
         p = word[now]
         if shape.grams:
-            ids, in_training = number.astype(np.uint64), number >= 0
+            history = _histories(now, at, inverse[-1], shape.order)
+            ids = number.astype(np.uint64)
+            known = number[now] >= 0
+            after = [x[history[-2]] for x in follow]
             for level in range(2, shape.order + 1):
-                part = history[-level:]
-                _raised(p, [ids[c] for c in part], np.array([in_training[c] for c in part]), arrays)
+                # an n-gram whose context was never followed isn't there
+                rows = np.flatnonzero(known & (after[0] > 0))
+                columns = [ids[c[rows]] for c in history[-level:]]
+                names = ("count", *_CONTEXT) if level < shape.order else ("count",)
+                got = arrays.find(f"grams{level}-", _places(columns, shape), _hash(columns), names)
+                found = [np.zeros(len(now), np.int64) for _ in names]
+                for x, v in zip(found, got):
+                    x[rows] = v
+                _raised(p, found[0], after, shape.discounts[level - 1])
+                if level < shape.order:  # the n-gram that ends a word before is the next context
+                    after = [np.r_[np.int64(0), x[:-1]] for x in found[1:]]
+                    for x, v in zip(after, begin[level]):
+                        x[at[:-1]] = v[0]
         known = np.r_[0, np.cumsum(count[now] > 0)]
         logs, bases = np.log10(p), base[now]
-        ends = at[1:]
         out = {k: batch.column(batch.schema.get_field_index(k)).slice(lo, hi - lo) for k in held}
         out |= {"n_tokens": np.diff(at), "n_known": known[ends] - known[at[:-1]], "base_score": np.add.reduceat(bases, at[:-1]), "score": np.add.reduceat(logs, at[:-1])}
         yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in out.items()})
