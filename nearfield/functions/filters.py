@@ -169,6 +169,30 @@ def _leaf(expr: dict, scope: Scope) -> Column:
     return _sure(found)
 
 
+def pushable(expr: dict, scope: Scope) -> Column | None:
+    """Tests on typed columns that every row has to pass that the filter lets
+    through, in the plain form that a scan can skip by; None if there are none.
+    They narrow; the whole filter runs after them."""
+    found: list[Column] = []
+    if any(k in expr for k in ("match", "exists", "is_null", "range")):
+        value = scope.value(expr.get("scope") or "attrs", expr.get("key")) if expr.get("key") else None
+        if isinstance(value, Typed) and not value.kind.startswith("array"):
+            if "match" in expr:
+                wanted = expr["match"] if isinstance(expr["match"], list | tuple) else [expr["match"]]
+                kinds = {"boolean": bool, "number": (int, float), "string": str}[value.kind]
+                fit = [w for w in wanted if isinstance(w, kinds) and (value.kind == "boolean" or not isinstance(w, bool))]
+                if None not in wanted:
+                    found.append(value.col.isin(fit) if fit else F.lit(False))
+            elif "exists" in expr:
+                found += [value.col.isNotNull()] if expr["exists"] else []
+            elif "range" in expr and "is_null" not in expr and value.kind == "number" and isinstance(expr["range"], dict):
+                tests = {"gt": value.col.__gt__, "gte": value.col.__ge__, "lt": value.col.__lt__, "lte": value.col.__le__}
+                found += [test(F.lit(expr["range"][name])) for name, test in tests.items() if expr["range"].get(name) is not None]
+    else:
+        found += [c for e in expr.get("must") or [] if (c := pushable(e, scope)) is not None]
+    return reduce(lambda a, b: a & b, found) if found else None
+
+
 def compile_filter(expr: dict, scope: Scope, id_col: Column | None = None) -> Column:
     """A boolean Column that is never null."""
     if "has_id" in expr:

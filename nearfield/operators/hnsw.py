@@ -13,7 +13,7 @@ from __future__ import annotations
 import heapq
 import io
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +22,12 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import query_vector
 from ..types import HnswParams, Metric
+from ..sources.scratch import materialised
 from .search import top_per_query
 
 SHARD_ROWS = 4096
+#: Kinds of rows that meet in a search.
+GRAPH, QUERY, DELETED, ALLOWED = range(4)
 
 
 @dataclass(frozen=True)
@@ -220,7 +223,8 @@ class Graph:
 
 
 def build(rows: DataFrame, params: HnswParams, metric: Metric, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(shard, n, links, levels, graph): links counts all links of the shard."""
+    """(shard, n, links, levels, graph): links counts all links of the shard.
+    Graphs are built once and kept as a table in the shared folder."""
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.select("id", "pos", "vector").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
@@ -232,43 +236,50 @@ def build(rows: DataFrame, params: HnswParams, metric: Metric, shard_rows: int =
         g = Graph.build(ids[order], x[order], params, metric)
         return pa.table({"shard": table.column("shard")[:1], "n": pa.array([len(ids)], pa.int64()), "links": pa.array([sum(len(x) for n in g.links for x in n)], pa.int64()), "levels": pa.array([int(g.levels.max(initial=0))], pa.int32()), "graph": pa.array([g.dump()], pa.binary())})
 
-    return dealt.groupBy("shard").applyInArrow(make, "shard int, n long, links long, levels int, graph binary")
+    return materialised(dealt.groupBy("shard").applyInArrow(make, "shard int, n long, links long, levels int, graph binary"), "graphs")
 
 
-def search_batch(graphs: DataFrame, queries: DataFrame, k: int, deleted: DataFrame | None = None, control: Control = Control(), block: int = 512, ef_search: int | None = None) -> DataFrame:
+def search_batch(graphs: DataFrame, queries: DataFrame, k: int, deleted: DataFrame | None = None, control: Control = Control(), block: int = 512, ef_search: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """query_id, rank, id, score. A task has one graph and one block of
-    queries. ``deleted``: (id) of tombstones, sent to their shard only."""
+    queries. ``deleted``: (id) of tombstones, ``allowed``: (id) of rows that
+    may be hits; both go to their shard only, whatever their number."""
     blocks = max(1, -(-queries.count() // block))
     n = graphs.count()
     own = F.pmod(F.xxhash64("id"), F.lit(max(1, n))).cast("int").alias("shard")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
     none = F.lit(None)
-    left = graphs.select("shard", every, "graph", none.cast("long").alias("id"), none.cast("array<float>").alias("vector"))
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), none.cast("binary").alias("graph"), "id", "vector")
+    left = graphs.select("shard", every, F.lit(GRAPH).alias("kind"), "graph", none.cast("long").alias("id"), none.cast("array<float>").alias("vector"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(QUERY).alias("kind"), none.cast("binary").alias("graph"), "id", "vector")
     rows = left.unionByName(asked)
-    if deleted is not None:
-        rows = rows.unionByName(deleted.select(own, every, none.cast("binary").alias("graph"), "id", none.cast("array<float>").alias("vector")))
+    for ids, kind in ((deleted, DELETED), (allowed, ALLOWED)):
+        if ids is not None:
+            rows = rows.unionByName(ids.select(own, every, F.lit(kind).alias("kind"), none.cast("binary").alias("graph"), "id", none.cast("array<float>").alias("vector")))
+    masked = allowed is not None
 
     def run(table: pa.Table) -> pa.Table:
-        got = table.to_pylist()
-        graph = next((Graph.restore(r["graph"]) for r in got if r["graph"] is not None), None)
-        gone = np.array([r["id"] for r in got if r["graph"] is None and r["vector"] is None], np.int64)
+        kind = table.column("kind").to_numpy()
+        ids = lambda what: table.column("id").filter(pa.array(kind == what)).to_numpy()
+        data = table.column("graph").filter(pa.array(kind == GRAPH))
         out = []
-        if graph is not None:
+        if len(data):
+            graph, gone, own = Graph.restore(data[0].as_py()), ids(DELETED), control
+            if masked:
+                own = replace(control, mask=tuple(ids(ALLOWED).tolist()))
             if ef_search:
                 graph.params = HnswParams(graph.params.m, graph.params.ef_construction, ef_search, graph.params.seed)
-            for r in got:
-                if r["vector"] is not None:
-                    out += [(r["id"], i, s) for i, s in graph.search(np.array(r["vector"]), k, gone, control)]
+            asked_ = table.column("vector").filter(pa.array(kind == QUERY)).combine_chunks()
+            x = asked_.flatten().to_numpy().reshape(len(asked_), -1)
+            for i, q in zip(ids(QUERY).tolist(), x):
+                out += [(i, j, s) for j, s in graph.search(q, k, gone, own)]
         return pa.table({n: pa.array([o[j] for o in out], t) for j, (n, t) in enumerate((("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())))})
 
     return top_per_query(rows.groupBy("shard", "block").applyInArrow(run, "query_id long, id long, score double"), k)
 
 
-def search(graphs: DataFrame, query, dim: int, metric: Metric, k: int = 5, deleted: DataFrame | None = None, control: Control = Control()) -> DataFrame:
+def search(graphs: DataFrame, query, dim: int, metric: Metric, k: int = 5, deleted: DataFrame | None = None, control: Control = Control(), allowed: DataFrame | None = None) -> DataFrame:
     q = query_vector(query, dim, metric)
     asked = graphs.sparkSession.createDataFrame([(0, q)], "id long, vector array<float>")
-    return search_batch(graphs, asked, k, deleted, control).select("id", "score")
+    return search_batch(graphs, asked, k, deleted, control, allowed=allowed).select("id", "score")
 
 
 def tune(rows: DataFrame, queries: DataFrame, metric: Metric, ms: list[int], efs: list[int], k: int = 10, seed: int = 42) -> DataFrame:
@@ -283,12 +294,10 @@ def tune(rows: DataFrame, queries: DataFrame, metric: Metric, ms: list[int], efs
     many = max(1, queries.count())
     out = []
     for m in ms:
-        graphs = build(rows, HnswParams(m=m, seed=seed), metric).persist()
-        graphs.count()
+        graphs = build(rows, HnswParams(m=m, seed=seed), metric)
         for ef in efs:
             began = time.perf_counter()
             got = recall(search_batch(graphs, queries, k, ef_search=ef), truth, k).agg(F.avg("recall")).first()[0]
             out.append((m, ef, float(got or 0.0), (time.perf_counter() - began) * 1000 / many))
-        graphs.unpersist()
     truth.unpersist()
     return spark.createDataFrame(out, "m int, ef_search int, recall double, latency_ms double").orderBy(F.col("recall").desc(), "latency_ms")

@@ -7,7 +7,7 @@ moves one partial sum for each list and task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import np_normalized, np_scores, query_vector
+from ..sources.scratch import shared_path
 from ..types import IvfParams, Metric
 from .search import knn, knn_batch, recall, top_per_query
 
@@ -131,11 +132,14 @@ def trained(rows: DataFrame, params: IvfParams, metric: Metric, iters: int = 10,
 
 
 def build(rows: DataFrame, params: IvfParams, metric: Metric, iters: int = 10, seed: int = 42) -> IvfIndex:
-    """Trained centroids, every row assigned."""
+    """Trained centroids, every row assigned; the lists are written once, by
+    list, in the shared folder, so a search reads those it probes."""
     centroids = trained(rows, params, metric, iters, seed)
     if not len(centroids):
         return seeded(rows, params, metric)
-    return IvfIndex(centroids, assigned(rows, centroids, metric), metric, params)
+    path = shared_path(rows.sparkSession, "lists")
+    save(IvfIndex(centroids, assigned(rows, centroids, metric), metric, params), path)
+    return IvfIndex(centroids, rows.sparkSession.read.parquet(f"{path}/lists"), metric, params)
 
 
 def probes(index: IvfIndex, query, nprobe: int | None = None) -> list[int]:
@@ -148,8 +152,20 @@ def probes(index: IvfIndex, query, nprobe: int | None = None) -> list[int]:
 def search(index: IvfIndex, query, k: int | None = None, where: Column | None = None, nprobe: int | None = None) -> DataFrame:
     """Scans the probed lists only: a filter on ``list_id``, which prunes
     partitions where the index was written by list."""
-    lists = index.assigned.where(F.col("list_id").isin(probes(index, query, nprobe)))
-    return knn(lists, query, index.centroids.shape[1], index.metric, k, where)
+    return knn(rows_of(index, query, nprobe), query, index.centroids.shape[1], index.metric, k, where)
+
+
+def repaired(index: IvfIndex, rows: DataFrame) -> IvfIndex:
+    """Rows that no list has are assigned, assignments without a row go; all
+    others stay where they are."""
+    kept = index.assigned.where("list_id is not null").join(rows.select("id"), "id", "left_semi")
+    lost = rows.select(*(c for c in index.assigned.columns if c != "list_id")).join(kept.select("id"), "id", "left_anti")
+    return replace(index, assigned=kept.unionByName(assigned(lost, index.centroids, index.metric)))
+
+
+def rows_of(index: IvfIndex, query, nprobe: int | None = None) -> DataFrame:
+    """The rows of the lists that a query probes."""
+    return index.assigned.where(F.col("list_id").isin(probes(index, query, nprobe)))
 
 
 def search_batch(index: IvfIndex, queries: DataFrame, k: int, nprobe: int | None = None, with_self: bool = True, slice_rows: int = 4096) -> DataFrame:
@@ -188,9 +204,10 @@ def centroid_frame(spark: SparkSession, centroids: np.ndarray) -> DataFrame:
 
 
 def save(index: IvfIndex, path: str) -> None:
-    """Centroids, and the rows partitioned by list."""
+    """Centroids, and the rows partitioned by list; a large list is several
+    files, none is one task's alone."""
     centroid_frame(index.assigned.sparkSession, index.centroids).write.mode("overwrite").parquet(f"{path}/centroids")
-    index.assigned.repartition("list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
+    index.assigned.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists")
 
 
 def load(spark: SparkSession, path: str, metric: Metric, params: IvfParams) -> IvfIndex:

@@ -15,8 +15,8 @@ class SearchPlan(Enum):
 
 
 def plan_search(strategy: Strategy, has_index: bool, has_filter: bool, mode: str = "none") -> SearchPlan:
-    """A filter makes the exact scan the default: it is right at any
-    selectivity. Only a graph in soft mode is walked under a filter."""
+    """A filter, or a caller's test, makes the exact scan the default: it is
+    right at any selectivity. Only a graph in soft mode is walked under one."""
     if not has_index or strategy == Strategy.BRUTEFORCE:
         return SearchPlan.SCAN
     if has_filter:
