@@ -203,6 +203,16 @@ ORACLE_SQL: dict[str, str] = {
         SELECT id, pg, part, (8 + coalesce(sum(bytes) OVER (PARTITION BY pg, part ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS "offset", bytes::BIGINT AS bytes, 'pg' || pg || '.part' || part AS segment FROM cut""",
     "rebalance_plan_placement": _moves_by_placement(),
     "rebalance_plan_plain": f"WITH {_placed(_DOC_IDS, 64, 1, 3)}, {_moves('(((pg * 2654435761) & 4294967295) % 4)')}",
+    "rebalance_apply": f"""WITH {_placed(_DOC_IDS, 64, 1, 3)}, m AS (SELECT DISTINCT pg, (pg * 2654435761) & 4294967295 AS base FROM placed), {_hash_steps("hd", "m", "base", "pg")}
+        SELECT 'db.pg' || pg || '.part0' AS name, 't' || (hd % 4) AS target, 0::BIGINT AS misplaced FROM hd5""",
+    "keep_on_lists": _top(_dot("b.v", "q.v"), K, "b.id % 2 = 1"),
+    "keep_on_graph": _top(_dot("b.v", "q.v"), K, "b.id % 2 = 1"),
+    "meta_after_index": f"WITH {_rows()}, {_Q} SELECT b.id, {_dot('b.v', 'q.v')} AS score, CASE WHEN b.id % 3 = 0 THEN 99 ELSE label END::BIGINT AS label FROM base b, q ORDER BY score DESC, b.id LIMIT {K}",
+    "saved_lists_search": _top(_dot("b.v", "q.v")),
+    "log_of_writes": f"""WITH {_rows()}, {_NEW},
+        up AS (SELECT coalesce(n.id, b.id) AS id, coalesce(n.v, b.v)[1]::DOUBLE AS v0, '{{"label":' || CASE WHEN n.id IS NULL THEN b.label ELSE -1 END || '}}' AS meta FROM base b FULL JOIN new n ON n.id = b.id),
+        m AS (SELECT user_id AS id, arg_max({_META}, event_id) AS meta FROM events GROUP BY 1)
+        SELECT up.id, v0, coalesce(m.meta, up.meta) AS meta FROM up LEFT JOIN m USING (id) WHERE up.id NOT IN (SELECT doc_id FROM labels)""",
     "snapshot_roundtrip": "SELECT vec_id AS id, vec_id AS pos, embedding[1]::DOUBLE AS v0, label::BIGINT AS label FROM embeddings",
     "snapshot_asof_read": """WITH e AS (SELECT event_id, event_type, epoch_ms(ts) AS ms FROM events)
         SELECT r.event_id AS read_id, (SELECT 'm' || c.event_id FROM e c WHERE c.event_type = 'purchase' AND c.ms <= r.ms ORDER BY c.ms DESC, 'm' || c.event_id DESC LIMIT 1) AS manifest FROM e r WHERE r.event_type = 'view'""",
@@ -227,7 +237,7 @@ ORACLE_SQL: dict[str, str] = {
     "diagnose_ivf": f"""WITH {_RECALL}, sizes AS (SELECT h.list_id, count(b.id)::BIGINT AS size FROM heads h LEFT JOIN best b USING (list_id) GROUP BY ALL), s AS (SELECT max(size) AS m, avg(size) AS a, arg_min(list_id, (-size, list_id)) AS k FROM sizes), r AS (SELECT avg(recall) AS recall FROM recalls)
         SELECT ((m > 2 * a)::INT + (recall < 0.6)::INT)::BIGINT AS suggestions, CASE WHEN m > 2 * a THEN 'ivf.list[' || k || '] size=' || m ELSE '' END AS hotspots, round(recall, 6) AS recall FROM s, r""",
     "consistency_check": "SELECT vec_id AS id, 'missing_in_index' AS problem FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)",
-    "consistency_repair": "SELECT 0::BIGINT AS problems",
+    "consistency_repair": f"WITH {_SEEDED} SELECT id, list_id, 0::BIGINT AS problems FROM best",
     "compact_after_delete": "SELECT vec_id AS id, (SELECT count(*) FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels))::BIGINT AS removed FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)",
     "rebuild_switch_strategy": _top(_dot("b.v", "q.v")),
 }

@@ -105,13 +105,18 @@ SEGMENT_HEADER = 8
 def segments(rows: DataFrame, segment_bytes: int) -> DataFrame:
     """``rows`` (pg, pos, bytes and more) with part, name suffix and offset.
     Rows of a group follow their order; where they begin beyond a multiple of
-    the size, the next part begins. Every part is kept."""
-    before = Window.partitionBy("pg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    df = rows.withColumn("__at", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-    df = df.withColumn("part", F.floor(F.col("__at") / segment_bytes).cast("int"))
-    inside = Window.partitionBy("pg", "part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn("offset", F.lit(SEGMENT_HEADER) + F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
-    return df.withColumn("segment", F.concat(F.lit("pg"), "pg", F.lit(".part"), "part")).drop("__at")
+    the size, the next part begins. Every part is kept. Bytes are added up in
+    ranges of positions inside a group, and ranges by one row each; no task
+    sorts a whole group."""
+    held = ranged(rows, "pos")
+    before = Window.partitionBy("pg").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = held.groupBy("pg", "__p").agg(F.sum("bytes").alias("__b")).select("pg", "__p", F.coalesce(F.sum("__b").over(before), F.lit(0)).alias("__base"))
+    own = Window.partitionBy("pg", "__p").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    df = held.withColumn("__own", F.coalesce(F.sum("bytes").over(own), F.lit(0))).join(bases, ["pg", "__p"])
+    df = df.withColumn("__at", F.col("__base") + F.col("__own")).withColumn("part", F.floor(F.col("__at") / segment_bytes).cast("int"))
+    first = Window.partitionBy("pg", "part")  # the rows of one segment
+    df = df.withColumn("offset", F.lit(SEGMENT_HEADER) + F.col("__at") - F.min("__at").over(first))
+    return df.withColumn("segment", F.concat(F.lit("pg"), "pg", F.lit(".part"), "part")).select(*rows.columns, "part", "offset", "segment")
 
 
 def rebalance_plan(manifest: DataFrame, m: PlacementMap, by: str = "placement") -> DataFrame:
@@ -129,12 +134,48 @@ def rebalance_plan(manifest: DataFrame, m: PlacementMap, by: str = "placement")
     return df.where("__pg is not null and wanted <> target").select("name", F.col("target").alias("source"), F.col("wanted").alias("target"))
 
 
-def check_placement(manifest: DataFrame | None, m: PlacementMap, mode: str = "warn", by: str = "placement") -> dict:
-    """ok and the moves; strict raises where something is misplaced. A
+def rebalanced(manifest: DataFrame, moves: DataFrame) -> DataFrame:
+    """The manifest (name, target) after moves (name, source, target)."""
+    to = moves.select("name", F.col("target").alias("__to"))
+    return manifest.join(to, "name", "left").withColumn("target", F.coalesce("__to", "target")).drop("__to")
+
+
+def move_segments(files, folders, moves: DataFrame, verify: bool = True, cleanup: bool = True, workers: int = 8) -> int:
+    """Carries out moves of binary segments: each is copied aside and renamed,
+    with ``verify`` read back and compared, and with ``cleanup`` its source
+    goes last, so a move that breaks off can be run again. ``folders`` tells
+    the folder of a target. Moves come to the driver a few at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+    from itertools import islice
+
+    def move(m) -> None:
+        source, target = f"{folders(m.source)}/{m.name}", f"{folders(m.target)}/{m.name}"
+        files.copy(source, target)
+        if verify and files.read_bytes(source) != files.read_bytes(target):
+            raise OSError(f"{target} differs from {source}")
+
+    done, left = 0, moves.toLocalIterator()
+    with ThreadPoolExecutor(workers) as pool:
+        while some := list(islice(left, 64 * workers)):
+            list(pool.map(move, some))
+            for m in some if cleanup else ():
+                files.delete(f"{folders(m.source)}/{m.name}")
+            done += len(some)
+    return done
+
+
+def check_placement(manifest: DataFrame | None, m: PlacementMap, mode: str = "warn", by: str = "placement", apply=None, shown: int = 1000) -> dict:
+    """ok, how many segments are misplaced, and the first ``shown`` moves;
+    strict raises where one is misplaced, auto hands all moves to ``apply``. A
     manifest that can't be read counts as placed."""
+    if mode not in ("warn", "strict", "auto"):
+        raise ValueError(f"unknown mode {mode!r}")
     if manifest is None:
-        return {"ok": True, "plan": []}
-    plan = [r.asDict() for r in rebalance_plan(manifest, m, by).collect()]
-    if plan and mode == "strict":
-        raise RuntimeError(f"{len(plan)} segments are misplaced")
-    return {"ok": not plan, "plan": plan}
+        return {"ok": True, "misplaced": 0, "plan": [], "moved": 0}
+    moves = rebalance_plan(manifest, m, by)
+    n = moves.count()
+    if n and mode == "strict":
+        raise RuntimeError(f"{n} segments are misplaced")
+    plan = [r.asDict() for r in moves.orderBy("name").limit(shown).collect()] if n else []
+    moved = apply(moves) if n and mode == "auto" and apply else 0
+    return {"ok": not n or moved == n, "misplaced": n, "plan": plan, "moved": moved}

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.filters import Scope, compile_filter
 from .functions.hashes import hash_embed
 from .functions.kernels import normalized, stored
-from .operators import changes, hnsw, ivf, maintenance, search
+from .operators import changes, hnsw, ivf, listing, maintenance, search
 from .operators.attr_index import AttrIndex
 from .operators.collection import Collection
-from .plans.placement import PlacementMap, located, rebalance_plan, row_bytes, segments, shard_plan
-from .sources.scratch import shared_path
+from .plans.placement import PlacementMap, located, rebalance_plan, rebalanced, row_bytes, segments, shard_plan
+from .sources.scratch import materialised, shared_path
 from .sources.seed import seed_rows
 from .sources.snapshot import latest_readable
 from .sources.text import fitted
@@ -81,8 +83,9 @@ def find_one(spark, sf_dir):
 
 
 def knn_filtered(spark, sf_dir):
-    """The flagship: filter, cosine score, top-k."""
-    c = Collection.of(_table(spark, sf_dir, "embeddings"), DIM, id_col="vec_id", vector_col="embedding", meta=F.parse_json(F.concat(F.lit('{"label":'), F.col("label").cast("string"), F.lit("}"))))
+    """The flagship: filter, cosine score, top-k. The label is a column of the
+    table, so the filter reaches the scan."""
+    c = Collection.of(_table(spark, sf_dir, "embeddings"), DIM, id_col="vec_id", vector_col="embedding", typed={"label": "number"}, meta=F.parse_json(F.concat(F.lit('{"label":'), F.col("label").cast("string"), F.lit("}"))))
     return c.find_many(_query(spark, sf_dir), K, {"must": [{"key": "label", "scope": "meta", "match": [1, 3, 5]}], "must_not": [{"key": "label", "scope": "meta", "match": 5}]}).select("id", "score")
 
 
@@ -415,6 +418,74 @@ def rebalance_plan_plain(spark, sf_dir):
     return rebalance_plan(_manifest(spark, sf_dir), PlacementMap(64, 1, TARGETS_4), "plain")
 
 
+def rebalance_apply(spark, sf_dir):
+    """The manifest after its moves, and how many are left to do."""
+    now, m = _manifest(spark, sf_dir), PlacementMap(64, 1, TARGETS_4)
+    after = rebalanced(now, rebalance_plan(now, m))
+    return after.select("name", "target").crossJoin(F.broadcast(rebalance_plan(after, m).agg(F.count("*").alias("misplaced"))))  # one row
+
+
+def _labelled(spark, sf_dir, strategy: str, params=None) -> Collection:
+    meta = F.parse_json(F.concat(F.lit('{"label":'), F.col("label").cast("string"), F.lit("}")))
+    return Collection.of(_table(spark, sf_dir, "embeddings"), DIM, strategy=strategy, params=params, id_col="vec_id", vector_col="embedding", meta=meta)
+
+
+def keep_on_lists(spark, sf_dir):
+    """A caller's test on a collection with lists: exact."""
+    c = _labelled(spark, sf_dir, "ivf", IVF).with_index(iters=2)
+    return c.find_many(_query(spark, sf_dir), K, keep=F.col("id") % 2 == 1).select("id", "score")
+
+
+def keep_on_graph(spark, sf_dir):
+    """A caller's test on a collection with a graph: exact."""
+    return _labelled(spark, sf_dir, "hnsw").with_index().find_many(_query(spark, sf_dir), K, keep=F.col("id") % 2 == 1).select("id", "score")
+
+
+def meta_after_index(spark, sf_dir):
+    """Metadata that is set after the lists were made is what hits have. All
+    lists are probed, so the hits are the nearest."""
+    c = _labelled(spark, sf_dir, "ivf", IvfParams(16, 16)).with_index(iters=2)
+    new = _table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), F.parse_json(F.lit('{"label":99}')).alias("meta"), F.lit(0).alias("ord"))
+    hits = c.set_meta(new)[0].find_many(_query(spark, sf_dir), K)
+    return hits.select("id", "score", F.try_variant_get("meta", "$.label", "long").alias("label"))
+
+
+def _reopened(spark, sf_dir, strategy: str, params) -> Collection:
+    path = shared_path(spark, "db")
+    _labelled(spark, sf_dir, strategy, params).with_index().save(path, PlacementMap(4, 1, TARGETS_3))
+    return Collection.open(spark, path)
+
+
+def saved_lists_search(spark, sf_dir):
+    """Saved, opened and searched, all lists probed: nothing is trained anew."""
+    return _reopened(spark, sf_dir, "ivf", IvfParams(16, 16)).find_many(_query(spark, sf_dir), K).select("id", "score")
+
+
+def saved_graph_search(spark, sf_dir):
+    """Saved, opened and searched: nothing is built anew."""
+    return _reopened(spark, sf_dir, "hnsw", HnswParams()).find_many(_query(spark, sf_dir), K).select("id", "score")
+
+
+def hnsw_shards_recall(spark, sf_dir):
+    """Against the exact search, over eight graphs whose hits are merged."""
+    rows = _rows(spark, sf_dir)
+    graphs = hnsw.build(rows, HnswParams(), Metric.COSINE, max(1, rows.count() // 8))
+    asked = _asked(rows)
+    return search.recall(hnsw.search_batch(graphs, asked, K), search.knn_batch(rows, asked, Metric.COSINE, K), K)
+
+
+def log_of_writes(spark, sf_dir):
+    """Rows after an upsert, a removal and new metadata, from their log alone."""
+    c = _labelled(spark, sf_dir, "bruteforce")
+    empty = Collection.create(spark, DIM, "cosine").logged()
+    start = c.rows.select("id", "vector", "meta", F.col("pos").alias("ord"))
+    one, _ = empty.upsert(start)
+    two, _ = one.upsert(_changes(spark, sf_dir))
+    three, _ = two.remove(_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")))
+    four, _ = three.set_meta(_table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.parse_json("props").alias("meta"), F.col("event_id").alias("ord")))
+    return fold(four.log).select("id", _first(), F.to_json("meta").alias("meta"))
+
+
 def snapshot_roundtrip(spark, sf_dir):
     c = Collection.of(_table(spark, sf_dir, "embeddings"), DIM, "dot", id_col="vec_id", vector_col="embedding", meta=F.parse_json(F.concat(F.lit('{"label":'), F.col("label").cast("string"), F.lit("}"))))
     path = shared_path(spark, "snapshot")
@@ -449,14 +520,11 @@ def hash_embed_knn(spark, sf_dir):
 
 def list_vector_then_tail(spark, sf_dir):
     """Up to 500 hits first, by rank; the others behind in their order."""
-    rows = _rows(spark, sf_dir)
-    hits = search.knn(rows, _query(spark, sf_dir), DIM, Metric.COSINE, 500).select("id", "score")
-    ranked = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))  # 500 rows at most
-    return rows.select("id", "pos").join(F.broadcast(ranked.select("id", "rank")), "id", "left").select("id", "pos", F.col("rank").cast("long").alias("rank")).orderBy(F.col("rank").asc_nulls_last(), "pos")
+    return listing.by_likeness(_rows(spark, sf_dir), _query(spark, sf_dir), DIM, Metric.COSINE).select("id", "pos", "rank")
 
 
 def list_page(spark, sf_dir):
-    return _rows(spark, sf_dir).orderBy("pos").offset(60).limit(30).select("id", "pos")
+    return listing.page(_rows(spark, sf_dir), 2, 30).select("id", "pos")
 
 
 def _listing(spark, sf_dir) -> DataFrame:
@@ -464,21 +532,16 @@ def _listing(spark, sf_dir) -> DataFrame:
 
 
 def meta_substring(spark, sf_dir):
-    rows = _listing(spark, sf_dir)
-    text = F.to_json("meta")
-    short = F.when(F.length(text) > 40, F.concat(F.substring(text, 1, 39), F.lit("…"))).otherwise(text)
-    return rows.where(F.col("id").cast("string").contains("77") | F.lower(short).contains("77")).select("id")
+    return listing.containing(_listing(spark, sf_dir), "77").select("id")
 
 
 def meta_equals(spark, sf_dir):
-    value = F.coalesce(F.try_variant_get("meta", "$.k", "string"), F.lit("undefined"))
-    return _listing(spark, sf_dir).where(value == "42").select("id")
+    return listing.with_value(_listing(spark, sf_dir), "k", "42").select("id")
 
 
 def vector_preview(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings")
-    first = F.transform(F.slice("embedding", 1, 3), lambda x: F.format_string("%.3f", x.cast("double")))
-    return e.select(F.col("vec_id").alias("id"), F.array_join(first, ", ").alias("preview"))
+    return e.select(F.col("vec_id").alias("id"), listing.vector_preview(F.col("embedding")).alias("preview"))
 
 
 def seed_table(spark, sf_dir):
@@ -540,8 +603,16 @@ def consistency_check(spark, sf_dir):
 
 
 def consistency_repair(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
-    return maintenance.check_consistency(rows, ivf.seeded(rows, IVF, Metric.COSINE).assigned).agg(F.count("*").alias("problems"))
+    """Lists that lost every row with a label in ``labels``, and hold some
+    that are no rows: after the repair all rows are in their lists."""
+    rows, whole = _rows(spark, sf_dir), _seeded(spark, sf_dir)
+    gone = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
+    strays = whole.assigned.where("id < 20").withColumn("id", F.col("id") + 1_000_000)
+    broken = replace(whole, assigned=whole.assigned.join(gone, "id", "left_anti").unionByName(strays))
+    fixed = ivf.repaired(broken, rows)
+    left = materialised(fixed.assigned.select("id", "pos", "list_id"), "repaired")
+    problems = maintenance.check_consistency(rows, left).count()
+    return left.select("id", F.col("list_id").cast("long").alias("list_id"), F.lit(problems).cast("long").alias("problems"))
 
 
 def compact_after_delete(spark, sf_dir):
@@ -572,7 +643,8 @@ _FUNCTIONS = [
     hnsw_search, hnsw_recall, hnsw_hard, hnsw_soft, hnsw_tune,
     crud_insert_only, crud_insert_only_report, crud_upsert, crud_upsert_report, crud_upsert_errors, crud_remove_many, crud_remaining, crud_set_meta, crud_set_vector, get_has_size,
     wal_fold, wal_fold_with_attrs, wal_stream_fold,
-    crush_locate, segment_layout, rebalance_plan_placement, rebalance_plan_plain, snapshot_roundtrip, snapshot_asof_read,
+    crush_locate, segment_layout, rebalance_plan_placement, rebalance_plan_plain, rebalance_apply, snapshot_roundtrip, snapshot_asof_read,
+    keep_on_lists, keep_on_graph, meta_after_index, saved_lists_search, saved_graph_search, hnsw_shards_recall, log_of_writes,
     hash_embed_documents, hash_embed_knn, list_vector_then_tail, list_page, meta_substring, meta_equals, vector_preview, seed_table, fit_vector,
     stats_lists, stats_ivf, rules_alerts, diagnose_ivf, diagnose_ivf_trained, consistency_check, consistency_repair, compact_after_delete, rebuild_switch_strategy,
 ]

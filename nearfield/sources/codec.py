@@ -79,3 +79,35 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     out = files.mapInArrow(run, "segment string, offset long, length long, id long, vector array<float>, meta string")
     return out.withColumn("meta", F.parse_json("meta"))
+
+
+_ENTRY = struct.Struct("<IIII")
+
+
+def encode_index(entries: list[tuple[int, str, int, int]]) -> bytes:
+    """An index file: (id, segment, offset, length) of rows; segment names are
+    listed once."""
+    names = sorted({e[1] for e in entries})
+    place = {n: k for k, n in enumerate(names)}
+    text = json.dumps(names, ensure_ascii=False, separators=(",", ":")).encode()
+    out = [_HEAD.pack(INDEX_MAGIC, VERSION), struct.pack("<II", len(text), len(entries)), text]
+    return b"".join(out + [_ENTRY.pack(i & 0xFFFFFFFF, place[n], at, size) for i, n, at, size in entries])
+
+
+def decode_index(data: bytes) -> list[tuple[int, str, int, int]]:
+    if len(data) < _HEAD.size + 8:
+        raise FormatError("index file is shorter than its header")
+    magic, version = _HEAD.unpack_from(data)
+    if magic != INDEX_MAGIC:
+        raise FormatError("no index file")
+    if version != VERSION:
+        raise FormatError(f"unsupported version {version}")
+    text, n = struct.unpack_from("<II", data, _HEAD.size)
+    at = _HEAD.size + 8
+    if len(data) < at + text + n * _ENTRY.size:
+        raise FormatError("index file is cut off")
+    names = json.loads(data[at : at + text])
+    found = [_ENTRY.unpack_from(data, at + text + k * _ENTRY.size) for k in range(n)]
+    if any(e[1] >= len(names) for e in found):
+        raise FormatError("an entry names no segment")
+    return [(i, names[k], o, size) for i, k, o, size in found]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import struct
+import time
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -153,6 +154,60 @@ def decode(data: bytes) -> Iterator[dict]:
         yield {"type": TYPES[code], "id": id_, "meta": meta, "vector": vector}
 
 
+class LogFolder:
+    """Binary logs in a folder, one numbered file for each append. A file is
+    whole or isn't there; two writers can't take one number."""
+
+    def __init__(self, files, path: str):
+        self.files, self.path = files, path.rstrip("/")
+
+    def names(self) -> list[str]:
+        return [n for n in self.files.names(self.path) if n.endswith(".wal")]
+
+    def append(self, records: Iterable[dict]) -> str:
+        data, have = with_checksum(encode(records)), self.names()
+        number = int(have[-1].split(".")[0]) + 1 if have else 0
+        while not self.files.make_new(f"{self.path}/{number:012d}.claim", ""):
+            number += 1
+        name = f"{number:012d}.wal"
+        self.files.write(f"{self.path}/{name}", data)
+        return name
+
+    def records(self) -> Iterator[dict]:
+        for n in self.names():
+            yield from decode(self.files.read_bytes(f"{self.path}/{n}"))
+
+    def truncate(self, upto: str | None = None) -> int:
+        """Drops the files up to one that a snapshot holds (all without it)."""
+        gone = [n for n in self.names() if upto is None or n <= upto]
+        for n in gone:
+            self.files.delete(f"{self.path}/{n}")
+            self.files.delete(f"{self.path}/{n.split('.')[0]}.claim")
+        return len(gone)
+
+
+class AutoSave:
+    """Saves after ``every`` operations or ``after_ms`` since the last save,
+    whichever comes first, and then truncates the log up to what was saved."""
+
+    def __init__(self, save: Callable[[], object], log: LogFolder | None = None, every: int = 1000, after_ms: int | None = None, clock: Callable[[], int] = lambda: int(time.time() * 1000)):
+        self.save, self.log, self.every, self.after_ms, self.clock = save, log, max(1, every), after_ms, clock
+        self.operations, self.last = 0, clock()
+
+    def wrote(self, operations: int = 1) -> bool:
+        self.operations += operations
+        late = self.after_ms is not None and self.clock() - self.last >= self.after_ms
+        return bool(self.operations) and (self.operations >= self.every or late) and self.flush()
+
+    def flush(self) -> bool:
+        upto = (self.log.names() or [None])[-1] if self.log else None
+        self.save()  # a save that fails leaves the log
+        if upto:
+            self.log.truncate(upto)
+        self.operations, self.last = 0, self.clock()
+        return True
+
+
 def with_checksum(data: bytes) -> bytes:
     return data + FOOTER + struct.pack("<I", zlib.crc32(data))
 
