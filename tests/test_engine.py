@@ -306,7 +306,9 @@ def test_codec(spark, tmp_path):
 
 def test_storage(spark):
     r = storage.Resolver({"x": "s3a://bucket/{ns}"})
-    assert r.path("x") == "s3a://bucket/x" and r.path("y") == "file:///tmp/y"
+    assert r.path("x") == "s3a://bucket/x" and storage.Resolver({}, "hdfs://n/{ns}").path("y") == "hdfs://n/y"
+    with pytest.raises(KeyError):  # no folder of one machine stands in
+        r.path("y")
     with pytest.raises(ValueError):
         storage.Resolver({"x": "ftp://h/{ns}"}).path("x")
     with pytest.raises(ValueError):
@@ -330,3 +332,149 @@ def test_rules(spark):
     assert {a.code for a in d["suggestions"]} == {"hnsw.low-avg-degree", "recall.low", "hnsw.small"}
     per = spark.createDataFrame([(1, 0.0), (2, 0.4)], "query_id long, recall double")
     assert len(maintenance.recommendations(per, 10, "hnsw")) == 3
+
+
+# ---- indexes that are kept
+
+
+def test_indexes_are_saved_and_opened(spark, tmp_path, monkeypatch):
+    metas = [{"k": i} for i in range(60)]
+    for strategy, params in (("ivf", IvfParams(6, 6)), ("hnsw", HnswParams(8, 32, 32, 1))):
+        path = str(tmp_path / strategy)
+        c = collection(spark, clusters(60), metas, strategy=strategy, params=params).with_index()
+        c.save(path)
+        with monkeypatch.context() as m:
+            for module in (ivf, hnsw):
+                m.setattr(module, "build", lambda *a, **k: pytest.fail("built anew"))
+            back = Collection.open(spark, path)
+            q = clusters(60)[7]
+            assert [(r.id, r.meta.toJson()) for r in back.find_many(q, 5).collect()] == [(r.id, r.meta.toJson()) for r in c.find_many(q, 5).collect()]
+    attrs = spark.createDataFrame([(1, '{"a":1}')], "id long, a string").select("id", F.parse_json("a").alias("attrs"))
+    from dataclasses import replace
+
+    replace(collection(spark, clusters(3)), attrs=attrs).save(str(tmp_path / "attrs"))
+    assert [r.id for r in Collection.open(spark, str(tmp_path / "attrs")).find_many(clusters(3)[0], 5, {"key": "a", "match": 1}).collect()] == [1]
+
+
+@pytest.mark.parametrize("strategy", ["bruteforce", "ivf", "hnsw"])
+def test_tests_and_metadata_under_every_strategy(spark, strategy):
+    params = IvfParams(6, 6) if strategy == "ivf" else None
+    c = collection(spark, clusters(60), [{"k": i} for i in range(60)], strategy=strategy, params=params).with_index()
+    q = clusters(60)[0]
+    exact = [r.id for r in c.with_index("bruteforce").find_many(q, 5, keep=F.col("id") != 1).collect()]
+    assert [r.id for r in c.find_many(q, 5, keep=F.col("id") != 1).collect()] == exact and 1 not in exact
+    new = spark.createDataFrame([(1, '{"k":"new"}', 0)], "id long, m string, ord long").select("id", F.parse_json("m").alias("meta"), "ord")
+    assert {r.id: r.meta.toJson() for r in c.set_meta(new)[0].find_many(q, 5).collect()}[1] == '{"k":"new"}'
+    if strategy == "hnsw":
+        soft = hnsw.Control(mode="soft", bridge_budget=500)
+        assert {r.id % 2 for r in c.find_many(q, 5, {"should": [{"key": "k", "scope": "meta", "match": list(range(0, 60, 2))}]}, control=soft).collect()} == {1}
+
+
+def test_repair_and_rebuild(spark):
+    c = collection(spark, clusters(60), strategy="ivf", params=IvfParams(6, 3)).with_index()
+    from dataclasses import replace
+
+    strays = c.index.assigned.where("id < 4").withColumn("id", F.col("id") + 1000)
+    broken = replace(c, index=replace(c.index, assigned=c.index.assigned.where("id > 5").unionByName(strays)))
+    fixed, lost, gone = broken.repaired()
+    assert (lost, gone) == (5, 3) and maintenance.check_consistency(fixed.rows, fixed.index.assigned).count() == 0
+    lists = lambda x: sorted((r.id, r.list_id) for r in x.index.assigned.select("id", "list_id").collect())
+    assert lists(fixed) == lists(c) and c.repaired()[1:] == (0, 0)
+    assert c.rebuilt(params=IvfParams(6, 5)).index.assigned is c.index.assigned and c.rebuilt(params=IvfParams(6, 5)).index.params.nprobe == 5
+    assert lists(c.rebuilt(ids=c.rows.where("id < 9").select("id"))) == lists(c)
+
+
+def test_log_of_writes(spark):
+    c = Collection.create(spark, 2).logged().add(rows_of(spark, [[1, 0], [0, 1]], [{"x": 1}, {"x": 2}]))
+    c, _ = c.push(rows_of(spark, [[1, 1], [3, 4]], [{"x": 8}, {"x": 3}], ids=[1, 3]))
+    c, _ = c.remove(spark.createDataFrame([(2,), (9,)], "id long"))
+    c = c.set_vector(rows_of(spark, [[0, 2]], ids=[1]))
+    c, _ = c.set_meta(spark.createDataFrame([(3, '{"y":1}', 0)], "id long, m string, ord long").select("id", F.parse_json("m").alias("meta"), "ord"))
+    key = lambda x: sorted((r.id, tuple(r.vector), r.meta.toJson()) for r in x.rows.collect())
+    again = Collection.create(spark, 2).replayed(c.log)
+    assert key(again) == key(c) and [r[0] for r in key(c)] == [1, 3] and c.writes == 5
+
+
+def test_log_folder_and_auto_save(spark, tmp_path):
+    for files, path in ((snapshot.Files(spark), str(tmp_path / "log")), (storage.MemoryFiles(), "log"), (storage.MemoryFiles(), "other")):
+        log = wal.LogFolder(files, path)
+        names = [log.append(RECORDS[:3]), log.append(RECORDS[3:])]
+        assert [r["id"] for r in log.records()] == [r["id"] for r in RECORDS] and names == log.names()
+        saves, clock = [], [0]
+        auto = wal.AutoSave(lambda: saves.append(1), log, 3, 100, lambda: clock[0])
+        assert not auto.wrote(2) and auto.wrote() and len(saves) == 1 and log.names() == []
+        clock[0] = 150
+        log.append(RECORDS[:1])
+        assert auto.wrote() and len(saves) == 2 and log.names() == [] and list(log.records()) == []
+
+
+def test_index_file():
+    entries = [(1, "pg0.part0", 8, 40), (2**32 - 1, "pg1.part0", 8, 44), (3, "pg0.part0", 48, 40)]
+    data = codec.encode_index(entries)
+    assert codec.decode_index(data) == entries and codec.decode_index(codec.encode_index([])) == []
+    for bad in (b"VLIX", b"XXXX" + data[4:], data[:-1], data[:4] + b"\x09" + data[5:], data[:-16] + b"\0\0\0\0\xff\0\0\0" + data[-8:]):
+        with pytest.raises(codec.FormatError):
+            codec.decode_index(bad)
+
+
+def test_writers_in_turn(spark, tmp_path):
+    """Leases and HEAD lie in the folder: another store sees them."""
+    path = str(tmp_path / "db")
+    a, b = snapshot.Store(spark, path), snapshot.Store(spark, path)
+    assert a.lease.acquire(path, 60_000) == 1 and b.lease.acquire(path, 60_000) is None
+    c = collection(spark, clusters(5))
+    with pytest.raises(RuntimeError):
+        b.save(c.rows, 4, c.metric, c.strategy)
+    assert a.lease.release(path, 1)
+    one, two = b.save(c.rows, 4, c.metric, c.strategy), a.save(c.rows, 4, c.metric, c.strategy, tries=3)
+    assert snapshot.may_replace(one, two) and b.head() == two and len({h.manifest for h in a.versions()}) == 2
+    assert a.files.make_new(f"{path}/x", "1") and not b.files.make_new(f"{path}/x", "2") and a.files.read(f"{path}/x") == "1"
+
+
+def test_segments_are_moved(spark, tmp_path):
+    from nearfield.plans.placement import check_placement, move_segments, rebalanced
+
+    files, folders = snapshot.Files(spark), lambda t: str(tmp_path / t)
+    manifest = spark.createDataFrame([(f"db.pg{k}.part0", "a") for k in range(6)], "name string, target string")
+    for k in range(6):
+        files.write(f"{folders('a')}/db.pg{k}.part0", f"data {k}")
+    m = PlacementMap(8, 1, ("a", "b"))
+    moves = rebalance_plan(manifest, m).persist()
+    n = moves.count()
+    with pytest.raises(RuntimeError):
+        check_placement(manifest, m, "strict")
+    told = check_placement(manifest, m, "warn", shown=1)
+    assert 0 < n < 6 and not told["ok"] and told["misplaced"] == n and len(told["plan"]) == 1
+    assert check_placement(manifest, m, "auto", apply=lambda x: move_segments(files, folders, x))["ok"]
+    after = rebalanced(manifest, moves)
+    assert check_placement(after, m)["ok"] and check_placement(None, m)["ok"]
+    for r in after.collect():
+        assert files.read(f"{folders(r.target)}/{r.name}") == f"data {r.name[5]}"
+    assert sum(len([x for x in files.names(folders(t)) if not x.endswith(".crc")]) for t in "ab") == 6
+
+
+def test_keys_and_codings():
+    key = storage.derived_key("secret", b"s" * 16)
+    assert len(key) == 32 and key == storage.derived_key("secret", b"s" * 16) != storage.derived_key("secret", b"t" * 16)
+    with pytest.raises(ValueError):
+        storage.derived_key("secret", b"short")
+    memory = storage.MemoryFiles()
+    zipped = storage.zipped(memory)
+    zipped.write("a/b", "x" * 1000)
+    assert zipped.read_bytes("a/b") == b"x" * 1000 and len(memory.data["a/b"]) < 100 and zipped.names("a") == ["b"]
+
+
+def test_typed_filters_reach_the_scan(spark, tmp_path):
+    vs = clusters(40)
+    spark.createDataFrame([(k, [float(x) for x in v], k % 5) for k, v in enumerate(vs)], "id long, vector array<float>, label int").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    meta = F.parse_json(F.concat(F.lit('{"label":'), F.col("label").cast("string"), F.lit("}")))
+    typed, plain = Collection.of(df, 4, meta=meta, typed={"label": "number"}), Collection.of(df, 4, meta=meta)
+    for leaf in ({"match": [1, 3, "1"]}, {"match": 2}, {"match": "x"}, {"range": {"gte": 1, "lt": 3}}, {"exists": True}, {"exists": False}, {"is_null": True}):
+        expr = {"must": [{"key": "label", "scope": "meta", **leaf}], "must_not": [{"key": "label", "scope": "meta", "match": 3}]}
+        found = typed.find_many(vs[0], 50, expr)
+        assert [(r.id, r.score) for r in found.collect()] == [(r.id, r.score) for r in plain.find_many(vs[0], 50, expr).collect()]
+    found = typed.find_many(vs[0], 5, {"must": [{"key": "label", "scope": "meta", "match": [1, 3]}]})
+    plan = found._jdf.queryExecution().explainString(found._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "PushedFilters: [In(label, [1,3])]" in plan or "In(label" in plan
+    assert "Exchange" not in plan
