@@ -45,17 +45,46 @@ def written(df: DataFrame) -> DataFrame:
     a lost executor costs no more than the tasks that read its part."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/nearfield-{uuid.uuid4().hex}.parquet"
+    for held in _scratch[-1:]:
+        held.paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._nf_path = path
+    return back
 
 
-def drop_written(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made and that nothing reads any more."""
-    for df in tables:
-        for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-            jvm = df.sparkSession.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+class Scratch:
+    """Inside ``with Scratch(spark) as s`` tables that ``written`` makes are
+    noted, and deleted at the end but for those that ``s.keep`` names: a result
+    that is still to be computed reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._nf_path)
+        return df
+
+    def __enter__(self) -> Scratch:
+        _scratch.append(self)
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        _scratch.remove(self)
+        for path in self.paths:
+            if kind is not None or path not in self.kept:
+                delete(self.spark, path)
+            else:
+                for outer in _scratch[-1:]:
+                    outer.paths.append(path)
+
+
+_scratch: list[Scratch] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def sample(rows: DataFrame, most: int, draw: Column, by: str | None = None) -> DataFrame:

@@ -25,6 +25,8 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,12 +57,13 @@ class Node:
     """``hint``: 2 if a whole name is one of what is no content, 1 if a part
     of one is; ``main``: an element of content."""
 
-    __slots__ = ("tag", "up", "parts", "out", "hint", "main", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "up", "parts", "out", "hint", "main", "chars", "tags", "link_chars", "link_tags", "density", "sum", "at", "end")
 
     def __init__(self, tag: str, up: Node | None, out: bool, hint: int = 0, main: bool = False):
         self.tag, self.up, self.out, self.hint, self.main, self.parts = tag, up, out, hint, main, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.at = self.end = 0  # the node's place on the page, and the first behind its subtree
 
 
 def _judged(tag: str, attrs: str) -> tuple[bool, int, bool]:
@@ -89,6 +92,16 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     texts and nodes in order."""
     root = Node("#root", None, False)
     nodes, here, at = [root], root, 0
+    open_: Counter[str] = Counter()  # elements that are open, so nothing is looked for in vain
+
+    def left(to: Node) -> Node:
+        """Closes all elements below ``to``."""
+        x = here
+        while x is not to:
+            open_[x.tag] -= 1
+            x = x.up
+        return to
+
     while at < len(page):
         m = _TOKEN.search(page, at)
         if not m:
@@ -101,16 +114,16 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = here
-            while up.up and up.tag != tag:
-                up = up.up
-            if up.up:
-                here = up.up
+            if open_[tag] > 0:
+                up = here
+                while up.tag != tag:
+                    up = up.up
+                here = left(up.up)
             continue
         ends, inside = _ENDS.get(tag, ("", ""))
         if tag in _P_ENDS:
             ends, inside = "p", "article section div td th li button main body blockquote figure aside form object"
-        if ends:
+        if ends and any(open_[x] > 0 for x in ends.split()):
             up, stop = here, inside.split()
             last = None
             while up.up and up.tag not in stop:
@@ -120,7 +133,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                         break
                 up = up.up
             if last:
-                here = last.up
+                here = left(last.up)
         out, hint, main = _judged(tag, m[3])
         node = Node(tag, here, here.out or out, hint, main)
         here.parts.append(node)
@@ -130,6 +143,13 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             at = close.end() if close else len(page)
         elif tag not in _VOID and not m[3].endswith("/"):
             here = node
+            open_[tag] += 1
+    for k, n in enumerate(nodes):
+        n.at = n.end = k
+    for n in reversed(nodes):
+        n.end = max(n.end, n.at + 1)
+        if n.up:
+            n.up.end = max(n.up.end, n.end)
     return root, nodes
 
 
@@ -202,9 +222,7 @@ def _measure(nodes: list[Node]) -> Node:
 
 
 def _inside(node: Node, top: Node) -> bool:
-    while node and node is not top:
-        node = node.up
-    return node is top
+    return top.at <= node.at < top.end
 
 
 def content(nodes: list[Node], body: Node) -> list[Node]:
@@ -219,21 +237,24 @@ def content(nodes: list[Node], body: Node) -> list[Node]:
         path.append(up.density)
     least = min(path)
 
-    def whole(n: Node) -> Node:
-        up, found = n, n
-        while up and up is not body.up:
-            if up.tag in ("article", "main"):
-                found = up
-            up = up.up
-        return found
-
-    found = [whole(middle)]
-    for n in mine:  # parents first
-        if n is not body and n.density >= least and n.tag not in _INLINE and not any(_inside(n, f) or _inside(f, n) for f in found):
-            best = max((x for x in mine if _inside(x, n)), key=lambda x: x.sum)
-            found.append(whole(best if best.sum > 0 else n))
-    place = {id(n): k for k, n in enumerate(nodes)}
-    return sorted({id(f): f for f in found}.values(), key=lambda n: place[id(n)])
+    # the outermost article or main that a node is in, or itself
+    around: dict[int, Node] = {}
+    for n in nodes[body.at : body.end]:
+        outer = around.get(n.up.at) if n is not body and n.up else None
+        if outer is not None or n.tag in ("article", "main"):
+            around[n.at] = outer or n
+
+    first = around.get(middle.at, middle)
+    found, at = [first], [n.at for n in mine]
+    until = 0  # behind the subtrees that were found so far
+    for k, n in enumerate(mine):  # in order of the page, parents first
+        if n.at < until or _inside(n, first) or _inside(first, n):
+            continue
+        if n is not body and n.density >= least and n.tag not in _INLINE:
+            best = max(mine[k : bisect_left(at, n.end)], key=lambda x: x.sum)
+            found.append(around.get((best if best.sum > 0 else n).at, best if best.sum > 0 else n))
+            until = max(n.end, found[-1].end)
+    return sorted({f.at: f for f in found}.values(), key=lambda n: n.at)
 
 
 def _pieces(node: Node, out: list[str]) -> None:

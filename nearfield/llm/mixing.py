@@ -38,7 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 DIMENSIONS = ("source", "language", "topic")
 #: Cells that one task rakes; above it they are raked by shuffles.
@@ -174,14 +174,19 @@ def _swept(state: DataFrame, keep: list[str], one_task: bool) -> DataFrame:
 
 def raked(cells: DataFrame, keep: float, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5, task_cells: int = TASK_CELLS) -> Fit:
     """``cells``: the three dimensions and tokens. Adds probability."""
+    with Scratch(cells.sparkSession) as scratch:
+        return _raked(cells, keep, targets, temper, task_cells, scratch)
+
+
+def _raked(cells: DataFrame, keep: float, targets: dict[str, dict[str, float]] | None, temper: float, task_cells: int, scratch: Scratch) -> Fit:
     cells = written(cells.select(*DIMENSIONS, "tokens").where("tokens > 0"))
     size = cells.agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens")).first()
     one_task, budget = size["n"] <= task_cells, keep * float(size["tokens"] or 0)
     if budget <= 0:
         none = cells.select(F.lit("").alias("dimension"), F.lit("").alias("value"), *(F.lit(0.0).alias(k) for k in ("target", "attainable", "expected"))).limit(0)
-        return Fit(cells.withColumn("probability", F.lit(0.0)), none, 0, 0.0)
+        return Fit(scratch.keep(cells).withColumn("probability", F.lit(0.0)), none, 0, 0.0)
     gathered = (lambda df: df.coalesce(1)) if one_task else (lambda df: df)  # a bounded table: then no step shuffles
-    values = written(_wanted(cells, budget, targets or {}, temper))
+    values = scratch.keep(written(_wanted(cells, budget, targets or {}, temper)))
     state = cells.withColumn("ratio", F.lit(1.0))
     for d in DIMENSIONS:
         side = values.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("want").alias(f"want_{d}"), F.col("full").alias(f"full_{d}"))
@@ -190,10 +195,12 @@ def raked(cells: DataFrame, keep: float, targets: dict[str, dict[str, float]] |
     keep_columns = [c for c in state.columns if c != "ratio"]
     off, sweeps = float("inf"), 0
     while True:
-        state = gathered(written(gathered(_swept(state, keep_columns, one_task))))
+        table = written(gathered(_swept(state, keep_columns, one_task)))
+        state = gathered(table)
         was, off, sweeps = off, state.agg(F.max("gap")).first()[0] / budget, sweeps + SWEEPS
         if off <= TOLERANCE or off > 0.9 * was or sweeps >= MOST_SWEEPS:
             break
+    scratch.keep(table)
     done = state.select(*DIMENSIONS, "tokens", F.least(F.lit(1.0), F.col("ratio")).alias("probability"))
     reached = None
     for d in DIMENSIONS:

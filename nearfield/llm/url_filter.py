@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 #: Bytes of a bitmap that are merged at a time.
 CHUNK = 1 << 20
@@ -182,12 +182,13 @@ def judge(urls: DataFrame, rules: list[tuple[str, str]], keep: list[str], url: s
     parsed = {(h, p): verdict for verdict, rule in rules for h, slash, rest in [rule.partition("/")] for p in [slash + rest]}
     lengths = sorted({len(p) for _, p in parsed})
     spark = urls.sparkSession
-    asked = written(universe(urls, url, lengths))
     cascades = []
-    for verdict in ("allow", "block"):
-        h = _hashed([k for k, v in parsed.items() if v == verdict]).view(np.int64).tolist()
-        listed = spark.createDataFrame(h, "h1 long, h2 long")
-        cascades.append((verdict, Cascade.build(listed, asked, error)))
+    with Scratch(spark):
+        asked = written(universe(urls, url, lengths))
+        for verdict in ("allow", "block"):
+            h = _hashed([k for k, v in parsed.items() if v == verdict]).view(np.int64).tolist()
+            listed = spark.createDataFrame(h, "h1 long, h2 long")
+            cascades.append((verdict, Cascade.build(listed, asked, error)))
     held = urls.select(F.struct(*keep).alias("row"), F.col(url).alias("url"))
     inner = held.schema["row"].dataType.simpleString()
 

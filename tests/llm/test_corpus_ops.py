@@ -122,6 +122,8 @@ def test_max_score(spark):
         assert dict(got) == want
     assert maxscore.top_k(df.limit(0), df, 5).count() == 0 and maxscore.top_k(df, df.limit(0), 5).count() == 0
     assert maxscore.top_k(df.where("id < 3"), df.where("id < 3"), 5).count() == 6
+    empty = spark.createDataFrame([(i, []) for i in range(3)], "id long, e array<double>").select("id", maxscore.quantised(F.col("e"), 256).alias("v"), F.lit("x").alias("least"), F.lit("y").alias("shard"))
+    assert sorted(tuple(r) for r in maxscore.top_k(empty, empty, 5).collect()) == [(0, 1, 1, 0), (0, 2, 2, 0), (1, 1, 0, 0), (1, 2, 2, 0), (2, 1, 0, 0), (2, 2, 1, 0)]
 
 
 # ---- mixing

@@ -354,3 +354,60 @@ def test_prior_may_be_high(spark):
     assert got[0].score < 0.7 <= got[1].score
     with pytest.raises(ValueError):
         toxicity.Toxicity.fit(docs(spark, toxic), docs(spark, clean), 0.0)
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        began = time.process_time()
+        assert html_text.main_text("<div>" * n + "<p>deep inside the page</p>" + "</i>" * n) == "deep inside the page"
+        wide = html_text.main_text("<body>" + "".join(f"<div><p>Part {k} of a page with many parts.</p></div></b>" for k in range(n // 4)) + "</body>")
+        assert wide.startswith("Part 0 of") and wide.endswith(f"Part {n // 4 - 1} of a page with many parts.")
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5  # sixteen times as long, were it quadratic
+
+
+def plain_density(page):
+    """Composite text density, written down node by node without sharing."""
+    _, nodes = html_text.parse(page)
+    kids = collections.defaultdict(list)
+    for n in nodes[1:]:
+        kids[n.up].append(n)
+    below = lambda n: [n] + [y for x in kids[n] for y in below(x)]
+    length = lambda n: sum(len(" ".join(x.split())) for m in below(n) for x in m.parts if isinstance(x, str))
+    body = next(n for n in nodes if n.tag == "body")
+    links = lambda n: [x for x in below(n) if x.tag == "a"]
+    share = sum(map(length, links(body))) / max(1, length(body))
+    out = {}
+    for n in nodes:
+        c, t, lc, lt = length(n), len(below(n)) - 1, sum(map(length, links(n))), len(links(n))
+        if c:
+            t, lc, lt = max(1, t), max(1, lc), max(1, lt)
+            plain = max(1, c - sum(map(length, links(n))))
+            base = max(1.1, math.log(c / plain * lc + share * c + math.e))
+            out[n.at] = c / t * max(0.0, math.log(c / lc * t / lt + 1e-9, base))
+    return out, {n.at: sum(out.get(x.at, 0.0) for x in kids[n]) for n in nodes}
+
+
+def test_densities_by_brute_force():
+    rng = np.random.default_rng(12)
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.3:
+            text = " ".join(["word"] * int(rng.integers(1, 30)))
+            return f"<a href=x>{text}</a>" if rng.random() < 0.3 else f"<p>{text}</p>"
+        return "<div>" + "".join(part(depth - 1) for _ in range(rng.integers(1, 4))) + "</div>"
+
+    for _ in range(30):
+        page = f"<html><body>{part(4)}{part(3)}</body></html>"
+        density, sums = plain_density(page)
+        _, nodes = html_text.parse(page)
+        html_text._measure(nodes)
+        assert {n.at: pytest.approx(n.density) for n in nodes if n.chars} == density
+        assert {n.at: pytest.approx(n.sum) for n in nodes} == sums
+        body = next(n for n in nodes if n.tag == "body")
+        # the best sum is in what is taken
+        best = max((n for n in nodes if html_text._inside(n, body)), key=lambda n: sums[n.at])
+        assert any(html_text._inside(best, f) for f in html_text.content(nodes, body))
