@@ -12,9 +12,11 @@ No list of all pairs of a group is made:
 * texts with equal sets are one class; its smallest id stands for it;
 * in each band bucket documents are tied to the bucket's smallest id only.
   Ties that the sketches don't rule out make families;
-* a family meets with its full sets, in tiles of ``TILE`` by ``TILE``
-  documents if it is large; a tile gives the edges of a spanning forest of
-  its links, never more than it has documents;
+* a family meets with its full sets, in tiles of ``TILE`` documents if it is
+  large, the first and the last of the family in each; a tile gives the edges of
+  a spanning forest of its links, never more than it has documents. What is not
+  tied to the family's largest part then (mostly nothing) meets all of the
+  family, in tiles of ``TILE`` by ``TILE``;
 * what shares a bucket without being in one family is compared by sketches,
   and pairs that may be similar are confirmed. Each bucket gives the most
   similar ones of every two families, 64 at first; rounds with ever more
@@ -25,7 +27,8 @@ one case in 2 * 10^7.
 
 Null and empty texts have empty sets and link with nothing; a text shorter
 than a shingle is one shingle. Repeated rows are copies of each other. Rows
-without an id take no part (their component is null, they are kept). Other
+without an id take no part (their component is null, they are kept). Ids are
+unique otherwise: of rows with one id but several texts one text counts. Other
 columns are left alone; an empty table gives an empty result.
 """
 
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_buffers, written
+from .common import Scratch, slices, text_buffers, written
 from .tokens import mix, word_hashes
 from .url_filter import Bloom, fill
 
@@ -172,16 +175,19 @@ def _tile(p: Params, most: int):
 def _links(table: pa.Table, p: Params) -> pa.Table:
     """A spanning forest of the exact links in one tile of a family. A
     document is compared with those it isn't connected with yet, all at once:
-    a mark for each of its shingles, summed over the others' shingle lists."""
-    ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
-    first = np.unique(ids, return_index=True)[1]  # repeated rows are one
+    a mark for each of its shingles, summed over the others' shingle lists.
+    ``comp`` tells what is connected already."""
+    every, sides = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
+    ids, first, row = np.unique(every, return_index=True, return_inverse=True)  # repeated rows are one
+    side = np.zeros(len(ids), sides.dtype)
+    np.bitwise_or.at(side, row, sides)
     texts = table.column("text").combine_chunks().take(pa.array(first))
-    ids, side = ids[first], side[first]
     sets = [s for _, _, part in _sets(texts, p.shingle) for s in part]
     n = np.array([len(s) for s in sets], np.int64)
     known, flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
     at = np.r_[0, np.cumsum(n)]
-    up, mark, out = np.arange(len(ids)), np.zeros(len(known), np.int32), []
+    up = np.unique(table.column("comp").to_numpy()[first], return_inverse=True)[1]
+    mark, out = np.zeros(len(known), np.int32), []
     for i in np.flatnonzero((side & 1) & (n > 0)):
         other = (up != up[i]) & (side & 2 > 0) & (100 * np.minimum(n, n[i]) >= p.threshold * np.maximum(n, n[i]))
         rows = np.flatnonzero(other)
@@ -214,6 +220,39 @@ def _tiled(rows: DataFrame, by: list[str], size: str) -> DataFrame:
     return dealt.select(*by, F.least("__own", "__other").alias("ti"), F.greatest("__own", "__other").alias("tj"), side.alias("side"), *rest)
 
 
+def _family_links(docs: DataFrame, family: DataFrame, p: Params) -> DataFrame:
+    """(doc_id, comp) by the exact links inside families (doc_id, family). A
+    text moves once, and the two that lead a family to each of its tiles; only
+    what these leave apart moves again."""
+    forest = "hi long, lo long"
+    groups = family.groupBy("family").agg(F.count("*").alias("size"), F.max("doc_id").alias("last"))
+    sized = written(family.join(groups, "family"))
+    texts = written(picked(docs, sized))
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), tiles).cast("int")
+    leads = (F.col("doc_id") == F.col("family")) | (F.col("doc_id") == F.col("last"))
+    met = texts.select("family", F.explode(F.when(leads, F.sequence(F.lit(0), tiles - 1)).otherwise(F.array(own))).alias("tile"), F.lit(3).alias("side"), "doc_id", F.col("doc_id").alias("comp"), "text")
+    edges = written(met.groupBy("family", "tile").applyInArrow(_forest(p), forest))
+    comp = components(edges)
+
+    # families of several tiles that are still in parts
+    tied = sized.where(F.col("size") > TILE).join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    parts = written(tied.groupBy("family", "comp").agg(F.count("*").alias("n")))
+    apart = parts.groupBy("family").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("rest")).where("parts > 1")
+    apart = written(apart)
+    if not apart.head(1):
+        return comp
+    open_ = written(tied.join(apart, "family"))
+    rows = texts.select("doc_id", "text").join(open_, "doc_id")
+    others = F.ceil(F.col("rest") / TILE).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    held = ["doc_id", "comp", "text"]
+    left = rows.where("comp <> main").select("family", F.pmod(F.xxhash64("doc_id"), others).cast("int").alias("ti"), every(tiles).alias("tj"), F.lit(1).alias("side"), *held)
+    right = rows.select("family", every(others).alias("ti"), own.alias("tj"), F.lit(2).alias("side"), *held)
+    more = left.union(right).groupBy("family", "ti", "tj").applyInArrow(_forest(p), forest)
+    return components(edges.union(more))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, comp) of every node of ``edges`` (hi, lo with hi > lo): the
     smallest id that it is connected with. Large-star and small-star steps,
@@ -277,10 +316,15 @@ def confirmed(docs: DataFrame, pairs: DataFrame, p: Params) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params = Params()) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    p = params
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    Ids are unique, but for rows that repeat as a whole."""
+    with Scratch(docs.sparkSession) as scratch:
+        return _near_duplicates(docs, id_col, text_col, params, scratch)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, p: Params, scratch: Scratch) -> DataFrame:
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sig = written(docs.mapInArrow(lambda b: _signatures(b, p), "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, bands array<long>"))
+    sig = scratch.keep(written(docs.mapInArrow(lambda b: _signatures(b, p), "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, bands array<long>")))
     filled = sig.where("n_shingles > 0 and doc_id is not null")
     classes = written(filled.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -298,10 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     family = components(ties.where(fits & (differ <= p.most_differing())))
     family = family.select("doc_id", F.col("comp").alias("family"))
     family = written(family.union(family.select(F.col("family").alias("doc_id"), "family").distinct()))
-    sized = written(family.join(family.groupBy("family").agg(F.count("*").alias("size")), "family"))
-    met = _tiled(picked(docs, sized), ["family"], "size").select("family", "ti", "tj", "side", "doc_id", "text")
-    edges = met.groupBy("family", "ti", "tj").applyInArrow(_forest(p), "hi long, lo long")
-    comp = written(components(edges))
+    comp = written(_family_links(docs, family, p))
 
     # pairs in one bucket but not in one family
     own = F.coalesce("family", "doc_id")
@@ -323,6 +364,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         most *= 16
 
+    scratch.keep(classes)
+    scratch.keep(comp)
     member = sig.join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     out = member.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "rep"))

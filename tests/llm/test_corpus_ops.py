@@ -70,6 +70,25 @@ def test_near_duplicates(spark, monkeypatch, k):
     assert [r.kept for r in got] == [r.doc_id == r.component_id for r in got]
 
 
+def test_large_family_in_parts(spark, monkeypatch):
+    """Many tiles, two halves that only a few bridge, and texts that look
+    alike to sketches but aren't linked."""
+    monkeypatch.setattr(near_dup, "TILE", 8)
+    rng = np.random.default_rng(31)
+    base = [f"w{x}" for x in range(120)]
+    texts = []
+    for k in range(90):  # sliding changes: neighbours are linked, far ones not
+        t = list(base)
+        t[:k] = [f"x{j}" for j in range(k)]
+        texts.append(" ".join(t))
+    texts += family(rng, 60, 150, 4) + family(rng, 40, 100, 12)
+    order = rng.permutation(len(texts))
+    texts = [texts[k] for k in order]
+    want, _ = linked(texts, 2)
+    got = near_dup.near_duplicates(docs(spark, texts), params=near_dup.Params(shingle=2)).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == want
+
+
 def test_chain_of_links(spark):
     """Neighbours are linked, ends are not: one component all the same."""
     base = [f"w{k}" for k in range(400)]
