@@ -53,6 +53,14 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(h), np.concatenate(of)
 
 
+def _place(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places in the sorted ``keys`` of those of ``x`` that are among them."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    at = np.searchsorted(keys, x)
+    return at[keys[np.minimum(at, len(keys) - 1)] == x]
+
+
 def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], size: int, prior: float, steps: int = 500, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
     """Full-batch Adam on the non-negative risk with the logistic loss. Rows
     are lists of active features. Where the unlabelled part of the risk falls
@@ -92,17 +100,24 @@ class Toxicity:
         caller picks them); their distinct features go to the driver.
         ``prior``: the share of toxic texts, above 0 and at most 1."""
 
-        def distinct(batches):
+        def distinct(batches, keys=None):
+            """The features of each text; with ``keys``, the places of those
+            among them."""
             for batch in batches:
                 data, offsets = text_buffers(batch.column(0))
                 for lo, hi in slices(offsets, 4 << 20):
                     h, of = _features(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                     order = np.argsort(of, kind="stable")
                     cut = np.searchsorted(of[order], np.arange(hi - lo + 1))
-                    yield pa.RecordBatch.from_pydict({"f": pa.array([np.unique(h[order[i:j]]).tobytes() for i, j in zip(cut[:-1], cut[1:])], pa.binary())})
+                    own = [np.unique(h[order[i:j]]) for i, j in zip(cut[:-1], cut[1:])]
+                    own = own if keys is None else [_place(keys, x).astype(np.int32) for x in own]
+                    yield pa.RecordBatch.from_pydict({"f": pa.array([x.tobytes() for x in own], pa.binary())})
+
+        def rows(df: DataFrame, kind, keys=None) -> list[np.ndarray]:
+            held = df.select(F.col(text).alias("text")).mapInArrow(lambda batches: distinct(batches, keys), "f binary").toArrow()
+            return [np.frombuffer(x, kind) for x in sorted(held.column("f").to_pylist())]
 
-        rows = lambda df: sorted((bytes(r.f) for r in df.select(F.col(text).alias("text")).mapInArrow(distinct, "f binary").collect()))
-        pos = [np.frombuffer(x, np.uint64) for x in rows(positives)]
+        pos = rows(positives, np.uint64)
         if not pos:
             return cls(np.zeros(0, np.uint64), np.zeros(0), -np.inf)
         if not 0 < prior <= 1:
@@ -110,13 +125,13 @@ class Toxicity:
         keys, df = np.unique(np.concatenate(pos), return_counts=True)
         keep = df >= least
         keys, df = keys[keep], df[keep]
-        place = lambda x: (lambda at: at[keys[np.minimum(at, len(keys) - 1)] == x])(np.searchsorted(keys, x)) if len(keys) else np.zeros(0, np.int64)
-        unl = [place(np.frombuffer(x, np.uint64)) for x in rows(unlabelled)]
+        # of unlabelled texts only what positives have as well leaves the tasks
+        unl = rows(unlabelled, np.int32, keys)
         seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *unl]), minlength=len(keys))
         # one standard error less than was counted: chance doesn't make a feature
         common = prior * (df - np.sqrt(df)) / len(pos) > 0.5 * (seen + 1) / max(1, len(unl))
         new = np.cumsum(common) - 1
-        pos_at = [new[a[common[a]]] for a in (place(x) for x in pos)]
+        pos_at = [new[a[common[a]]] for a in (_place(keys, x) for x in pos)]
         unl_at = [new[a[common[a]]] for a in unl]
         w, b = nn_pu(pos_at, unl_at or [np.zeros(0, np.int64)], int(common.sum()), prior)
         return cls(keys[common], w, b)
