@@ -111,6 +111,7 @@ def test_repeated_rows_and_missing_ids(spark):
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(max(a, b), min(a, b)) for a, b in rng.integers(0, 300, (220, 2)).tolist() if a != b] + [(k + 1, k) for k in range(1000, 1100)]
+    edges += [(k, 2000) for k in range(2001, 2600)] + [(3000, k) for k in range(2600, 3000)]  # hubs
     got = {r.doc_id: r.comp for r in near_dup.components(spark.createDataFrame(edges, "hi long, lo long")).collect()}
     up = {x: x for e in edges for x in e}
     for _ in range(400):
