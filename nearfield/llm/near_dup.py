@@ -49,8 +49,6 @@ from .url_filter import Bloom, fill
 TILE = 512
 #: Most bits of the filter that picks texts before they move.
 FILTER_BITS = 1 << 26
-#: Tasks that the rows of one hub are dealt to.
-SALTS = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -255,29 +253,20 @@ def _family_links(docs: DataFrame, family: DataFrame, p: Params) -> DataFrame:
     return components(edges.union(more))
 
 
-def _dealt(rows: DataFrame, key: list[str], by: str, info: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` with what ``info`` tells of their ``key`` (never null, one row
-    of ``info`` each). Rows of one key are dealt to ``SALTS`` tasks by ``by``:
-    ``info`` meets only the deals that occur, and the rows meet their deal."""
-    salted = rows.withColumn("__deal", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    deals = salted.select(*key, "__deal").distinct().join(info, key, how)
-    return salted.join(deals, [*key, "__deal"]).drop("__deal")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, comp) of every node of ``edges`` (hi, lo with hi > lo): the
     smallest id that it is connected with. Large-star and small-star steps,
-    each a few aggregations over the edges that are left; the edges of a hub
-    are dealt to many tasks."""
+    each a few aggregations over the edges that are left."""
     e = written(edges.select("hi", "lo").distinct())
     mark = lambda t: t.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % 1_000_003)).first()
     was = mark(e)
     while was[0]:
-        both = e.union(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select("hi", F.least("hi", "m").alias("m"))
-        large = _dealt(both, ["hi"], "lo", least).where("lo > hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
-        joined = _dealt(large, ["hi"], "lo", large.groupBy("hi").agg(F.min("lo").alias("m")))
-        small = joined.select("hi", F.col("m").alias("lo")).union(joined.where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).distinct()
+        # every edge has one end that moves to the least neighbour of the other
+        least = e.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "lo")
+        large = e.join(least, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        rest = large.join(least, "hi").where("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = least.select("hi", F.col("m").alias("lo")).union(rest).distinct()
         e = written(small)
         now = mark(e)
         if now == was:
@@ -293,7 +282,7 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(one, "hi", "left").join(two, "lo", "left").select(F.coalesce("hi_comp", "hi").alias("x"), F.coalesce("lo_comp", "lo").alias("y"))
     up = components(ends.where("x <> y").select(F.greatest("x", "y").alias("hi"), F.least("x", "y").alias("lo")))
     roots = up.select(F.col("doc_id").alias("comp"), F.col("comp").alias("new"))
-    moved = _dealt(comp, ["comp"], "doc_id", roots, "left").select("doc_id", F.coalesce("new", "comp").alias("comp"))
+    moved = comp.join(roots, "comp", "left").select("doc_id", F.coalesce("new", "comp").alias("comp"))
     return moved.union(up)
 
 
@@ -349,7 +338,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, p: Params, scr
     ties = hits.where("doc_id > lead").select(F.col("doc_id").alias("hi"), F.col("lead").alias("lo")).distinct()
     differ = F.aggregate(F.zip_with("hi_s", "lo_s", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     hi, lo = (lite.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"{k}_n"), F.col("sketch").alias(f"{k}_s")) for k in ("hi", "lo"))
-    ties = _dealt(ties, ["lo"], "hi", lo).join(hi, "hi")
+    ties = ties.join(lo, "lo").join(hi, "hi")
     fits = 100 * F.least("hi_n", "lo_n") >= p.threshold * F.greatest("hi_n", "lo_n")
     family = components(ties.where(fits & (differ <= p.most_differing())))
     family = family.select("doc_id", F.col("comp").alias("family"))
@@ -380,7 +369,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, p: Params, scr
     scratch.keep(comp)
     same = ["d1", "d2", "n_shingles"]
     named = classes.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select(*same, F.coalesce("comp", "rep").alias("group"))
-    out = _dealt(sig.select("doc_id", *same), same, "doc_id", named, "left")
+    out = sig.select("doc_id", *same).join(named, same, "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id"))
     return out.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
