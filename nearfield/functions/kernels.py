@@ -81,3 +81,39 @@ def np_scores(queries: np.ndarray, rows: np.ndarray, metric: Metric) -> np.ndarr
         else:
             out += q[:, d, None] * x[d]
     return -out if metric == Metric.L2 else out
+
+
+def np_pair_scores(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray, metric: Metric, step: int = 1 << 16) -> np.ndarray:
+    """Scores of the pairs (q[i], x[j]), folded as in ``np_scores``."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i), step):
+        a, b = np.ascontiguousarray(q[i[at : at + step]].T), np.ascontiguousarray(x[j[at : at + step]].T)
+        for d in range(len(a)):
+            u, v = a[d].astype(np.float64), b[d].astype(np.float64)
+            out[at : at + step] += (u - v) * (u - v) if metric == Metric.L2 else u * v
+    return -out if metric == Metric.L2 else out
+
+
+def np_candidates(q: np.ndarray, x: np.ndarray, metric: Metric, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, score) of every pair that may be among the k best
+    of its query. A matrix product leaves out only what lies below the k-th
+    best by more than its rounding error; the rest is scored by the fold."""
+    if not (np.isfinite(q).all() and np.isfinite(x).all()):
+        s = np_scores(q, x, metric)
+        i, j = np.nonzero(~np.isnan(s) & (s > -np.inf))
+        return i, j, s[i, j]
+    if len(x) <= k:
+        i, j = np.divmod(np.arange(len(q) * len(x)), max(1, len(x)))
+        return i, j, np_pair_scores(q, x, i, j, metric)
+    lengths = [np.sqrt((v.astype(np.float64) ** 2).sum(axis=1)) for v in (q, x)]
+    plain = all(((n == 0) | ((n > 1e-6) & (n < 1e6))).all() for n in lengths)
+    kind = np.dtype(np.float32 if plain else np.float64)
+    s = q.astype(kind) @ x.astype(kind).T
+    most = lengths[0] * lengths[1].max()
+    if metric == Metric.L2:
+        s = 2 * s - (lengths[1] ** 2).astype(kind)
+        most = 2 * most + lengths[1].max() ** 2
+    slack = 4 * (x.shape[1] + 4) * float(np.finfo(kind).eps) * most
+    least = np.partition(s, len(x) - k, axis=1)[:, len(x) - k] - slack
+    i, j = np.divmod(np.flatnonzero(s >= least[:, None].astype(kind)), len(x))
+    return i, j, np_pair_scores(q, x, i, j, metric)

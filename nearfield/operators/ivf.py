@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import np_normalized, np_scores, query_vector
 from ..sources.scratch import shared_path
 from ..types import IvfParams, Metric
-from .search import knn, knn_batch, recall, top_per_query
+from .search import QUERY_BLOCK, ROW_SHARD, knn, knn_batch, recall, top_per_query
 
 #: Components of all centroids together that may travel with the plan.
 MOST_CENTROID_VALUES = 50_000_000
@@ -168,9 +168,10 @@ def rows_of(index: IvfIndex, query, nprobe: int | None = None) -> DataFrame:
     return index.assigned.where(F.col("list_id").isin(probes(index, query, nprobe)))
 
 
-def search_batch(index: IvfIndex, queries: DataFrame, k: int, nprobe: int | None = None, with_self: bool = True, slice_rows: int = 4096) -> DataFrame:
+def search_batch(index: IvfIndex, queries: DataFrame, k: int, nprobe: int | None = None, with_self: bool = True, slice_rows: int = ROW_SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
     """Many queries: each goes to its probed lists only; lists are cut in
-    slices, so a large list is many tasks."""
+    slices and queries in blocks, so a large list is many tasks."""
+    blocks = max(1, -(-queries.count() // query_block))
     centroids, metric = _checked(index.centroids), index.metric
     many = min(nprobe or index.params.nprobe, len(centroids))
 
@@ -184,12 +185,12 @@ def search_batch(index: IvfIndex, queries: DataFrame, k: int, nprobe: int | None
     sizes = index.assigned.groupBy("list_id").count().withColumn("slices", F.ceil(F.col("count") / slice_rows).cast("int")).select("list_id", "slices")
     sizes = F.broadcast(sizes)  # one row for each list
     rows = index.assigned.select("id", "vector", "list_id").join(sizes, "list_id")
-    left = rows.select("list_id", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice"), F.lit(False).alias("query"), "id", "vector")
+    left = rows.select("list_id", F.pmod(F.xxhash64("id"), "slices").cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("query"), "id", "vector")
     asked = queries.select("id", "vector").mapInArrow(route, "id long, vector array<float>, list_id int").join(sizes, "list_id")
-    right = asked.select("list_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(True).alias("query"), "id", "vector")
+    right = asked.select("list_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"), "id", "vector")
     from .search import _best
 
-    found = left.union(right).groupBy("list_id", "slice").applyInArrow(lambda t: _best(t, metric, k, with_self), "query_id long, id long, score double")
+    found = left.union(right).groupBy("list_id", "slice", "block").applyInArrow(lambda t: _best(t, metric, k, with_self), "query_id long, id long, score double")
     return top_per_query(found, k)
 
 

@@ -15,10 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import literal_vector, np_scores, query_vector, score
+from ..functions.kernels import literal_vector, np_candidates, query_vector, score
 from ..types import Metric
 
-ROW_SHARD, QUERY_BLOCK = 8192, 512
+#: Cells of the grid are large: a row moves once for each block, a query for each shard.
+ROW_SHARD, QUERY_BLOCK = 16384, 16384
 
 
 def k_of(k: int | None) -> int:
@@ -46,7 +47,9 @@ def post_filtered(hits: DataFrame, keep: Column | Callable) -> DataFrame:
     return hits.where(test(F.col("id"), F.to_json("meta")))
 
 
-def _best(table: pa.Table, metric: Metric, k: int, with_self: bool) -> pa.Table:
+def _best(table: pa.Table, metric: Metric, k: int, with_self: bool, step: int = 256) -> pa.Table:
+    """The k best rows of each query. Equal vectors are scored once; of those
+    that are hits the smallest ids come first."""
     ids, is_query = table.column("id").to_numpy(), table.column("query").to_numpy(zero_copy_only=False)
     vectors = table.column("vector").combine_chunks()
     size = len(vectors[0]) if len(vectors) else 0
@@ -54,18 +57,27 @@ def _best(table: pa.Table, metric: Metric, k: int, with_self: bool) -> pa.Table:
     q, r = np.flatnonzero(is_query), np.flatnonzero(~is_query)
     r = r[np.argsort(ids[r], kind="stable")]
     out_q, out_i, out_s = [], [], []
-    for at in range(0, len(q) if len(r) else 0, 64):
-        part = q[at : at + 64]
-        s = np_scores(x[part], x[r], metric)
-        if not with_self:
-            s[ids[part][:, None] == ids[r]] = -np.inf
-        s[np.isnan(s)] = -np.inf
-        first = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        got = np.take_along_axis(s, first, axis=1)
-        fine = got > -np.inf
-        out_q.append(np.repeat(ids[part], first.shape[1]).reshape(first.shape)[fine])
-        out_i.append(ids[r][first][fine])
-        out_s.append(got[fine])
+    if len(q) and len(r):
+        same = np.ascontiguousarray(x[r]).view(np.dtype((np.void, x.itemsize * size))).ravel() if size else np.zeros(len(r), int)
+        _, first, own = np.unique(same, return_index=True, return_inverse=True)
+        many = np.bincount(own)
+        members, begin = r[np.argsort(own, kind="stable")], np.cumsum(many) - many
+        # a query's own rows may be among its best and are left out after
+        most = k if with_self else k + int(np.unique(ids[r], return_counts=True)[1].max())
+        for at in range(0, len(q), step):
+            part = q[at : at + step]
+            i, c, s = np_candidates(x[part], x[r[first]], metric, most)
+            n = np.minimum(many[c], most)
+            j = members[np.repeat(begin[c] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            i, s = np.repeat(i, n), np.repeat(s, n)
+            if not with_self:
+                i, j, s = (v[ids[part][i] != ids[j]] for v in (i, j, s))
+            order = np.lexsort((ids[j], -s, i))
+            i, j, s = i[order], j[order], s[order]
+            fine = np.arange(len(i)) - np.searchsorted(i, i) < k
+            out_q.append(ids[part][i[fine]])
+            out_i.append(ids[j[fine]])
+            out_s.append(s[fine])
     join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
     return pa.table({"query_id": join(out_q, np.int64), "id": join(out_i, np.int64), "score": join(out_s, np.float64)})
 
