@@ -1,12 +1,14 @@
 """Steps whose work has to stay small on large tables."""
 
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from nearfield.functions.kernels import np_scores
-from nearfield.operators import search
-from nearfield.types import Metric
+from nearfield.operators import hnsw, search
+from nearfield.types import HnswParams, Metric
 
 
 def vectors(n, dim=64, seed=0):
@@ -40,3 +42,34 @@ def test_exact_search_scores_few_pairs_and_finds_all(metric, kind, with_self):
         best = sorted((-s[j], ids[j]) for j in np.flatnonzero(fine))[:10]
         want += [(ids[i], j, -t) for t, j in best]
     assert list(zip(got["query_id"], got["id"], got["score"])) == want
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_graph_links_to_the_nearest_and_walks_in_step_find_them(metric):
+    x = vectors(900, 16)
+    x[300:420] = x[0]
+    g = hnsw.Graph.build(np.arange(900), x, HnswParams(), metric)
+    s = np_scores(x, x, metric)
+    for i in (20, 250, 350, 899):
+        near = set(sorted(range(i), key=lambda j: (-s[i, j].round(5), j))[:16])
+        last = min(s[i, j] for j in near)
+        assert all(s[i, j] >= last - 1e-5 for j in g.layers[0].near[i])
+    rows, nodes = g.walk(x[500:], 10)
+    scores = g.scores(x[500:], rows, nodes)
+    assert len(set(zip(rows, nodes))) == len(rows) == 4000
+    best = -np.sort(-s[500:], axis=1)[:, :10]
+    assert np.mean([np.isin(best[i].round(9), scores[rows == i].round(9)).mean() for i in range(400)]) >= 0.9
+    one = [set(i for i, _ in g.search(q, 10)) for q in x[500:550]]
+    assert np.mean([len(one[i] & set(nodes[rows == i])) / 10 for i in range(50)]) >= 0.9
+
+
+def test_a_full_graph_is_built_and_searched_in_seconds():
+    x = vectors(hnsw.SHARD_ROWS)
+    began = time.perf_counter()
+    g = hnsw.Graph.build(np.arange(len(x)), x, HnswParams(), Metric.COSINE)
+    assert time.perf_counter() - began < 15  # 80 when each row walked
+    back = hnsw.Graph.restore(g.dump())
+    rows, nodes = back.walk(x[:500], 10)
+    assert all(np.array_equal(a, b) for a, b in zip((rows, nodes), g.walk(x[:500], 10)))
+    truth = np.argsort(-(x[:500] @ x.T), axis=1)[:, :10]
+    assert np.mean([len(set(truth[i]) & set(nodes[rows == i])) / 10 for i in range(500)]) >= 0.85
