@@ -467,9 +467,10 @@ def saved_graph_search(spark, sf_dir):
 
 
 def hnsw_shards_recall(spark, sf_dir):
-    """Against the exact search, over eight graphs whose hits are merged."""
+    """Against the exact search, over eight graphs whose hits are merged; over
+    more where eight would be larger than a graph may be."""
     rows = _rows(spark, sf_dir)
-    graphs = hnsw.build(rows, HnswParams(), Metric.COSINE, max(1, rows.count() // 8))
+    graphs = hnsw.build(rows, HnswParams(), Metric.COSINE, min(hnsw.SHARD_ROWS, max(1, rows.count() // 8)))
     asked = _asked(rows)
     return search.recall(hnsw.search_batch(graphs, asked, K), search.knn_batch(rows, asked, Metric.COSINE, K), K)
 

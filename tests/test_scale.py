@@ -5,7 +5,9 @@ import time
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from nearfield import queries
 from nearfield.functions.kernels import np_scores
 from nearfield.operators import hnsw, search
 from nearfield.types import HnswParams, Metric
@@ -73,3 +75,14 @@ def test_a_full_graph_is_built_and_searched_in_seconds():
     assert all(np.array_equal(a, b) for a, b in zip((rows, nodes), g.walk(x[:500], 10)))
     truth = np.argsort(-(x[:500] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(truth[i]) & set(nodes[rows == i])) / 10 for i in range(500)]) >= 0.85
+
+
+def test_graphs_of_the_shards_query_stay_small(spark, tmp_path, monkeypatch):
+    x = vectors(1000)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 10) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 50)
+    made, build = [], hnsw.build
+    monkeypatch.setattr(hnsw, "build", lambda *a: made.append(build(*a)) or made[-1])
+    assert queries.hnsw_shards_recall(spark, str(tmp_path)).agg(F.avg("recall")).first()[0] >= 0.9
+    assert made[0].count() == 20
